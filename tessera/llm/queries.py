@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op2_bpe
+from tessera.llm.cap_filters import OP5_SQL, op5_cap_filters
 from tessera.llm.chat_format import OP4_SQL, op4_chat_format
+from tessera.llm.fingerprints import op6_fingerprints
 from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import op7_mixing
+from tessera.llm.ngram_join import OP10_SQL, op10_ngram_join
 from tessera.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_cap_filters": op5_cap_filters,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op9_url_filter": op9_url_filter,
+    "op10_ngram_join": op10_ngram_join,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op9_url_filter": OP9_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op5_cap_filters": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_ngram_join": OP10_SQL}
