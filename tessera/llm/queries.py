@@ -9,9 +9,11 @@ from tessera.llm.fingerprints import op6_fingerprints
 from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import op7_mixing
 from tessera.llm.ngram_join import OP10_SQL, op10_ngram_join
+from tessera.llm.toxicity import op1_toxicity
 from tessera.llm.url_filter import OP9_SQL, op9_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
