@@ -146,7 +146,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 if w != last:
                     last, last_ids = w, next(found)
                 ids.append(last_ids)
-            size = np.array([len(i) for i in ids], np.uint32)
+            size = np.array([len(i) for i in ids], np.int64)
             flat = np.array([x for i in ids for x in i], np.uint32)
             ends = np.cumsum(size)
             chunk, no = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
@@ -158,7 +158,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                 n = size[at]
                 pick = np.repeat(ends[at] - n, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 out_chunk.append(chunk[at[0]])
-                out.append(np.array([len(at)], np.uint32).tobytes() + no[at].tobytes() + n.tobytes() + flat[pick].tobytes())
+                out.append(np.array([len(at)], np.uint32).tobytes() + no[at].tobytes() + n.astype(np.uint32).tobytes() + flat[pick].tobytes())
             pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
             yield pa.record_batch([pa.array(np.array(out_chunk, np.int64)), pa.array(np.zeros(len(out), np.int32)), pa.array([None] * len(out), pa.int64()), pa.array([pack.compress(x) for x in out], pa.binary())], ["chunk", "kind", "doc_id", "packed"])
 
@@ -179,7 +179,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                     start, size = np.zeros(words, np.int64), np.zeros(words, np.int64)
                     before = 0
                     for no, n, ids in parts:
-                        size[no], start[no] = n, before + np.cumsum(n) - n
+                        size[no], start[no] = n, before + np.cumsum(n, dtype=np.int64) - n
                         before += len(ids)
                     flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
                     parts = []
