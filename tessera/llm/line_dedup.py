@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """doc_id, text without the shared lines, n_lines (before), n_dropped; one row for each row of docs.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, text without the shared lines, the columns to keep, n_lines (before), n_dropped; one row for each row of docs.
 
     Keys of at least min_chars code points in at least min_docs documents lose all their lines except in the
     largest doc_id holding them. Null or empty text is one empty line. Rows that repeat a doc_id count as one
@@ -22,7 +24,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are exploded and shuffled; a line that a third of the documents hold is counted by a partial aggregate and
     is else only a skewed join key, which adaptive execution splits.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0), *keep).alias("rest")).withColumn("row", F.xxhash64("text"))
     key = F.col("key")
     lines = (
         rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -32,13 +34,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     shared = lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
     drops = lines.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
-    whole = rows.select("doc_id", "row", F.split("text", "\n", -1).alias("lines")).alias("w")
+    whole = rows.select("doc_id", "row", "rest", F.split("text", "\n", -1).alias("lines")).alias("w")
     d = drops.alias("d")
     out = whole.join(d, F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.row") == F.col("d.row")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("drops", F.array().cast("array<int>")))
     return out.select(
         F.col("w.doc_id").alias("doc_id"),
         F.array_join(F.transform(kept, lambda p: F.get("lines", p)), "\n").alias("text"),
+        *[F.col("w.rest")[c].alias(c) for c in keep],
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import indexed, stored
@@ -35,30 +35,63 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
     return ranked.select("source", "source_size", F.least(full, F.col("w") * F.lit(level)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seeds: int = 64) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies; one row for each row of docs.
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def drawn(seed: Column, doc_id: Column, fraction: Column) -> Column:
+    """The Bernoulli copy: 1 where the upper 53 bits of a hash of (seed, doc_id), a number in [0, 1), are below the fraction."""
+    return (F.shiftrightunsigned(F.xxhash64(seed, F.coalesce(doc_id, F.lit(-1))), 11) / F.lit(float(1 << 53)) < fraction).cast("long")
+
 
-    A document comes floor(rate) times, rate = target / source_size, plus one Bernoulli copy with probability
-    equal to the fraction: a hash of (seed, doc_id) below it. Each source takes that one of `seeds` seeds whose
-    words come nearest to its target, found in one grouped sum, so reruns agree. Null text has size 0; a null
-    source is a source, the last; a source without words has target 0 and no copies. Rows that repeat a doc_id
-    fare alike. Nothing is emitted more than ceil(cap) times.
+def source_plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seeds: int = 64) -> DataFrame:
+    """source, source_size, target, base, fraction, seed for each source of sizes (doc_id, source, size).
+
+    rate = target / source_size; base is its floor, and the fraction the probability of one more copy. Each
+    source takes that one of `seeds` seeds whose words come nearest to its target, found in one grouped sum, so
+    reruns agree. A source without words has target 0 and no copies.
     """
-    sizes = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = stored(source_targets(sizes, weights, cap))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = targets.withColumn("base", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
     s, t = sizes.alias("s"), targets.alias("t")
-    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.doc_id", "s.source", "s.size", "t.source_size", "t.target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("fraction"))
+    rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.doc_id", "s.source", "s.size", "source_size", "target", "base", "fraction")
+    gain = [F.sum(drawn(F.lit(i), F.col("doc_id"), F.col("fraction")) * F.col("size")).alias(f"g{i}") for i in range(seeds)]
+    off = [F.struct(F.abs(F.col("base") * F.col("source_size") + F.col(f"g{i}") - F.col("target")).alias("off"), F.lit(i).alias("seed")) for i in range(seeds)]
+    return stored(rows.groupBy("source", "source_size", "target", "base", "fraction").agg(*gain).withColumn("seed", F.array_min(F.array(*off))["seed"]).select("source", "source_size", "target", "base", "fraction", "seed"))
 
-    def lucky(seed):
-        # the upper 53 bits of the hash as a number in [0, 1)
-        return F.shiftrightunsigned(F.xxhash64(seed, F.coalesce("doc_id", F.lit(-1))), 11) / F.lit(float(1 << 53)) < F.col("fraction")
 
-    gain = [F.sum(F.when(lucky(F.lit(i)), F.col("size")).otherwise(0)).alias(f"g{i}") for i in range(seeds)]
-    off = [F.struct(F.abs(F.col("base") * F.col("source_size") + F.col(f"g{i}") - F.col("target")).alias("off"), F.lit(i).alias("seed")) for i in range(seeds)]
-    chosen = rows.groupBy("source", "source_size", "target", "base").agg(*gain).select("source", F.array_min(F.array(*off))["seed"].alias("seed"))
-    r, c = rows.alias("r"), stored(chosen).alias("c")
-    return r.join(c, F.col("r.source").eqNullSafe(F.col("c.source"))).select("doc_id", "size", "r.source", "source_size", "target", (F.col("base") + lucky(F.col("seed")).cast("long")).alias("copies"))
+def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    return stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (with doc_id and source) with source_size, target and copies, how often each comes.
+
+    The plan has one row for each source. Spark broadcasts it where its file is small enough; else the join
+    shuffles, and a hot source is a skewed key that adaptive execution splits.
+    """
+    r, p = rows.alias("r"), plan.alias("p")
+    copies = F.col("p.base") + drawn(F.col("p.seed"), F.col("r.doc_id"), F.col("p.fraction"))
+    return r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select(*[F.col(f"r.`{c}`") for c in rows.columns], F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), copies.alias("copies"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seeds: int = 64) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies; one row for each row of docs.
+
+    A document comes floor(rate) times plus one Bernoulli copy with probability equal to the fraction. Null text
+    has size 0; a null source is a source, the last. Rows that repeat a doc_id fare alike. Nothing comes more
+    than ceil(cap) times.
+    """
+    sizes = sizes_of(docs, id_col, text_col, source_col)
+    return with_copies(sizes, source_plan(sizes, weights, cap, seeds))
+
+
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """The rows of docs (doc_id, source, text and more), each as often as the mix takes it."""
+    plan = source_plan(sizes_of(docs), weights, cap)
+    taken = with_copies(docs, plan.withColumn("source_size", F.lit(0))).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

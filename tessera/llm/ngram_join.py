@@ -151,6 +151,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return all_docs.select("doc_id", F.col("n").alias("n_shingles")).join(last, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def near_duplicates_removed(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that hang together with one of a smaller doc_id; rows without a doc_id stay."""
+    found = ngram_components(docs, k, percent)
+    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
 

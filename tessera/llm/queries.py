@@ -6,6 +6,7 @@ from tessera.llm.bpe import op2_bpe
 from tessera.llm.cap_filters import OP5_SQL, op5_cap_filters
 from tessera.llm.chat_format import OP4_SQL, op4_chat_format
 from tessera.llm.fingerprints import op6_fingerprints
+from tessera.llm.html_text import op8_html
 from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import op7_mixing
 from tessera.llm.ngram_join import OP10_SQL, op10_ngram_join
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_cap_filters": op5_cap_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
+    "op8_html": op8_html,
     "op9_url_filter": op9_url_filter,
     "op10_ngram_join": op10_ngram_join,
 }
