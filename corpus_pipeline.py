@@ -1,11 +1,56 @@
-"""The training-data pipeline over documents."""
+"""The training-data pipeline over documents: toxic documents go, shared lines go, one of each group of near copies stays, sources are mixed, and what is left is encoded."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.bpe import bpe_decode, bpe_encode
+from tessera.llm.common import stored
+from tessera.llm.line_dedup import line_dedup
+from tessera.llm.mixing import mixed_documents
+from tessera.llm.ngram_join import near_duplicates_removed
+from tessera.llm.toxicity import toxicity, train_toxicity
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = line_dedup(docs, keep=keep)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicates_removed(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the text that the ids decode to; one row for each copy of a document."""
+    found = bpe_decode(bpe_encode(docs))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line dedup", without_shared_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("source mixing", mixed),
+    ("BPE", encoded),
+]
+#: Compression lengths can't be had in SQL; the stages are tested against plain Python instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
