@@ -16,8 +16,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored
+
 #: Characters of text that share one table of word numbers.
 CHUNK_CHARS = 16_000_000
+#: Printable ASCII, tab, line feed, carriage return and the letters of Latin-1 but ª µ º.
+LATIN = frozenset("\t\n\r") | {chr(c) for c in range(0x20, 0x7F)} | {chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
 
 
 def default_path() -> str:
@@ -60,22 +64,21 @@ def splitter(path: str):
     added = [t["content"] for t in spec["added_tokens"]]
     if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
         raise ValueError("added tokens must match literally")
-    words = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+    words = regex.compile(r""" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
+    # the same for texts of LATIN characters alone, where ranges stand for the classes
+    latin = re.compile(r""" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+""").findall
     whole = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-    ranges, start = [], None
-    for c in range(0x110001):
-        void = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if void and start is None:
-            start = c
-        elif not void and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    doubtful = re.compile(f"[{''.join(ranges)}]").search
+    known = set(LATIN)
     own = _loaded(path).pre_tokenizer
 
     def part(text: str) -> list[str]:
-        if not text.isascii() and doubtful(text):
+        used = set(text)
+        if used <= LATIN:
+            return latin(text)
+        new = used - known
+        if any(unicodedata.category(c) == "Cn" for c in new):
             return [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
+        known.update(new)
         return words(text)
 
     def split(text: str) -> list[str]:
@@ -112,28 +115,26 @@ def _chunks(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, li
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids; one row for each row of docs: the ids of the whole text (null: empty) without special tokens added.
 
-    Chunks of documents number their distinct words. The words are shuffled by word, sorted, and each distinct
-    word is encoded once; its ids return to the chunks that hold it, where they are put in place by position.
-    A word has one row in a chunk at most, so no word makes a hot key, and texts are never shuffled, only their
-    word numbers. Both branches read docs, which must give the same rows in the same partitions each time, as a
-    Parquet table does; a chunk whose words are missing raises an error. Files of tokenizers are read on the
-    executors from `path`.
+    Chunks of documents number their distinct words, in one pass over the texts whose result is written to the
+    shared folder. The words are shuffled by word, sorted, and each distinct word is encoded once; its ids return
+    to the chunks that hold it, where they are put in place by position. A word has one row in a chunk at most,
+    so no word makes a hot key, and texts are never shuffled, only their word numbers. Files of tokenizers are
+    read on the executors from `path`. Rows that repeat a doc_id are encoded one by one.
     """
     path = path or default_path()
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def distinct_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, _, words in _chunks(rows, path):
+    def numbered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["chunk", "kind", "doc_id", "packed", "no", "word"]
+        for chunk, ids, codes, words in _chunks(rows, path):
+            for lo in range(0, len(ids), 500):
+                n = len(ids[lo : lo + 500])
+                yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.ones(n, np.int32)), pa.array(ids[lo : lo + 500], pa.int64()), pa.array(codes[lo : lo + 500], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
             word = list(words)
             for lo in range(0, len(word), 20_000):
                 some = word[lo : lo + 20_000]
-                yield pa.record_batch([pa.array(np.full(len(some), chunk)), pa.array(np.arange(lo, lo + len(some), dtype=np.int32)), pa.array(some, pa.string())], ["chunk", "no", "word"])
-
-    def packed_docs(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, codes, _ in _chunks(rows, path):
-            for lo in range(0, len(ids), 500):
-                n = len(ids[lo : lo + 500])
-                yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.ones(n, np.int32)), pa.array(ids[lo : lo + 500], pa.int64()), pa.array(codes[lo : lo + 500], pa.binary())], ["chunk", "kind", "doc_id", "packed"])
+                n = len(some)
+                yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(some, pa.string())], names)
 
     def encoded_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, last, last_ids = _loaded(path), None, None
@@ -202,9 +203,10 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         return pa.record_batch([pa.array(doc, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flats)))], ["doc_id", "ids"])
 
     both = "chunk long, kind int, doc_id long, packed binary"
-    words = docs.mapInArrow(distinct_words, "chunk long, no int, word string")
+    chunks = stored(docs.mapInArrow(numbered, f"{both}, no int, word string"), compression="zstd")
+    words = chunks.where("kind = 0").select("chunk", "no", "word")
     table = words.repartition("word").sortWithinPartitions("word").mapInArrow(encoded_words, both)
-    return docs.mapInArrow(packed_docs, both).unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(placed, "doc_id long, ids array<int>")
+    return chunks.where("kind = 1").select("chunk", "kind", "doc_id", "packed").unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(placed, "doc_id long, ids array<int>")
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
