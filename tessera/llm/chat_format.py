@@ -52,7 +52,7 @@ def best_paths(messages: DataFrame, top: int = 1, max_doublings: int = 40) -> Da
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")
     path = leaves.withColumn("path", F.row_number().over(order)).where(F.col("path") <= top).select("tree", "path", "id")
     for step in steps[:-1] if len(steps) > 1 else []:
-        path = path.unionByName(path.join(step.select("tree", "id", "up"), ["tree", "id"]).where("up IS NOT NULL").select("tree", "path", F.col("up").alias("id")))
+        path = path.join(step.select("tree", "id", "up"), ["tree", "id"], "left").select("tree", "path", F.explode(F.array("id", "up")).alias("id")).where("id IS NOT NULL")
     return path.join(ends.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "path", "depth", "id")
 
 
