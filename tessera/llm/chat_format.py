@@ -43,16 +43,20 @@ def best_paths(messages: DataFrame, top: int = 1, max_doublings: int = 40) -> Da
     steps = [up]
     open_now = up.where("up IS NOT NULL").count()
     while open_now and len(steps) <= max_doublings and 2 ** (len(steps) - 2) <= open_now:
-        a, b = steps[-1].alias("a"), steps[-1].alias("b")
-        joined = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")), "left")
-        steps.append(cut(joined.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))))
+        # messages that have reached a root take no further part in the joins
+        a, b = steps[-1].where("up IS NOT NULL").alias("a"), steps[-1].alias("b")
+        joined = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")))
+        further = joined.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        steps.append(cut(steps[-1].where("up IS NULL").unionByName(further)))
         open_now = steps[-1].where("up IS NOT NULL").count()
     ends = steps[-1].where("up IS NULL").drop("up")
     leaves = ends.join(steps[0].select("tree", F.col("up").alias("id")).distinct(), ["tree", "id"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")
     path = leaves.withColumn("path", F.row_number().over(order)).where(F.col("path") <= top).select("tree", "path", "id")
+    path = cut(path)
     for step in steps[:-1] if len(steps) > 1 else []:
-        path = path.join(step.select("tree", "id", "up"), ["tree", "id"], "left").select("tree", "path", F.explode(F.array("id", "up")).alias("id")).where("id IS NOT NULL")
+        more = path.join(step.where("up IS NOT NULL").select("tree", "id", "up"), ["tree", "id"]).select("tree", "path", F.col("up").alias("id"))
+        path = cut(path.unionByName(more))
     return path.join(ends.select("tree", "id", "depth"), ["tree", "id"]).select("tree", "path", "depth", "id")
 
 
