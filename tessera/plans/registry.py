@@ -1,6 +1,91 @@
-"""Every query of the engine with its oracle."""
+"""Every query of the engine with its oracle; queries on corpora are registered by their own subpackage."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions.vectors import cosine
+from tessera.operators.grouping import sessions, top_k
+from tessera.operators.joins import asof_join, range_join, salted_join
+from tessera.plans.sql import PAIRS, SAME
+from tessera.sources.tables import register, round_trip, table
+from tessera.streaming.events import closed_days, daily_counts, first_of_each
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def of_sql(text: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir)
+        return spark.sql(text)
+
+    return query
+
+
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return asof_join(bought, clicks, "user_id", "ts", "ts", ["click"]).select("event_id", F.col("asof_click").alias("click"))
+
+
+def range_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = spark.range(20).select(F.col("id").alias("band"), (F.col("id") * 50.0).alias("low"), (F.col("id") * 50.0 + 80).alias("high"))
+    return range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "low", "high", 50.0).select("p_partkey", "band")
+
+
+def salted_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_quantity")
+    joined = salted_join(lines, table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
+    return joined.groupBy("s_nationkey").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"), F.count("*").alias("n"))
+
+
+def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return top_k(orders, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3)
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions(table(spark, sf_dir, "events"), "user_id", "ts", 3600)
+    return found.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+
+
+def cosine_to_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    # one row at most: vec_id is a key
+    first = vectors.where("vec_id = 0").select(F.col("embedding").alias("other")).limit(1)
+    return vectors.crossJoin(F.broadcast(first)).select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+def formats(kind: str, **options: str) -> Query:
+    return lambda spark, sf_dir: round_trip(table(spark, sf_dir, "customer"), kind, **options)
+
+
+def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "orders"), "parquet", ("o_orderstatus",)).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+QUERIES: dict[str, Query] = {name: of_sql(text) for name, text in SAME.items()} | {name: of_sql(pair[0]) for name, pair in PAIRS.items()}
+QUERIES |= {
+    "join_asof": asof_events, "join_range": range_bands, "join_salted": salted_supply, "top_k": top_orders, "sessions": event_sessions, "cosine": cosine_to_first,
+    "format_orc": formats("orc"), "format_json": formats("json"), "format_csv": formats("csv", header="true"), "format_partitioned": partitioned,
+    "stream_daily": daily_counts, "stream_closed_days": closed_days, "stream_dedup": first_of_each,
+}
+CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLES: dict[str, str] = SAME | {name: pair[1] for name, pair in PAIRS.items()}
+ORACLES |= {
+    "join_asof": "SELECT b.event_id, c.event_id AS click FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON b.user_id = c.user_id AND b.ts >= c.ts",
+    "join_range": "SELECT p_partkey, band FROM part JOIN (SELECT i AS band, i * 50.0 AS low, i * 50.0 + 80 AS high FROM range(20) t(i)) b ON p_retailprice >= low AND p_retailprice < high",
+    "join_salted": "SELECT s_nationkey, round(sum(l_quantity), 2) AS quantity, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey",
+    "top_k": "SELECT * FROM (SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders) o WHERE rank <= 3",
+    "sessions": "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first_ts FROM (SELECT *, sum(CASE WHEN floor(epoch(ts)) - floor(epoch(before)) > 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e) s GROUP BY ALL",
+    "cosine": "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) f",
+    "format_orc": CUSTOMER, "format_json": CUSTOMER, "format_csv": CUSTOMER,
+    "format_partitioned": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "stream_daily": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "stream_closed_days": "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1",
+    "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
+}
