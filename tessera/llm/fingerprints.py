@@ -70,7 +70,7 @@ def fingerprints(texts: list[bytes]) -> list[np.ndarray]:
             cuts = _cuts(e - s, (hard[bounds[0][i] : bounds[1][i]] - s).tolist(), (easy[bounds[2][i] : bounds[3][i]] - s).tolist())
             counts.append(len(cuts))
             firsts += [s + c for c in [0, *cuts[:-1]]] if cuts else []
-            lengths += [b - a for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            lengths += [b - a for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if cuts else []
         if firsts:
             firsts, lengths = np.array(firsts), np.array(lengths)
             inner = np.concatenate([np.arange(n) for n in lengths]) if len(lengths) < 1000 else np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
