@@ -14,6 +14,8 @@ from tessera.llm.shingles import digest, shingle_sets
 
 #: A shingle in fewer prefixes is never common; COMMON_MOST bounds how many common shingles there can be.
 COMMON_LEAST, COMMON_MOST = 32, 1 << 19
+#: Rows of a side that may be broadcast.
+SMALL_SIDE = 500_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -69,7 +71,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
     return docs.select("doc_id", "text").mapInArrow(made, "doc_id long, n long, f binary, g binary, prefix array<long>, rare int")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, docs_are_unique: bool) -> DataFrame:
     """The pairs (a, fa, b, fb: document and set digest) whose sets are alike, as (a, b)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +93,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 good.append(100 * inter >= percent * (len(both) - inter))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id"), F.col("fa").alias("f")).unionByName(pairs.select(F.col("b").alias("id"), F.col("fb").alias("f"))).distinct()
-    own = docs.join(ids, docs["doc_id"] == ids["id"]).select("text", "f").mapInArrow(sets, "f binary, own binary")
-    own = stored(own.dropDuplicates(["f"]))
+    ids = pairs.select(F.col("a").alias("id"), F.col("fa").alias("f")).unionByName(pairs.select(F.col("b").alias("id"), F.col("fb").alias("f"))).groupBy("f").agg(F.min("id").alias("id"))
+    ids = stored(ids)
+    # up to SMALL_SIDE rows (24 bytes each) the ids go to the texts; beyond, both are shuffled
+    small = F.broadcast(ids) if ids.count() <= SMALL_SIDE else ids
+    own = stored(docs.join(small, docs["doc_id"] == small["id"]).select("text", "f").mapInArrow(sets, "f binary, own binary"), compression="zstd")
+    own = own if docs_are_unique else stored(own.dropDuplicates(["f"]))
     x, y = own.select(F.col("f").alias("fa"), F.col("own").alias("xs")), own.select(F.col("f").alias("fb"), F.col("own").alias("ys"))
     return pairs.join(x, "fa").join(y, "fb").select("a", "b", "xs", "ys").mapInArrow(alike, "a long, b long")
 
@@ -116,6 +121,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     common = _common(docs, k, percent)
     all_docs = stored(_prefixes(docs, k, percent, common))
     known = all_docs.where("n > 0 AND doc_id IS NOT NULL")
+    # where rows repeat a doc_id, a set can be read twice
+    unique = not known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").head(1)
     classes = stored(known.groupBy("f").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g"), F.first("n").alias("n")))
     groups = known.groupBy("g").agg(F.min_by("f", "doc_id").alias("f"), F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("rare").alias("rare"), (F.min("f") != F.max("f")).alias("multi"))
     postings = groups.select("g", "f", "rep", "n", "rare", "multi", F.posexplode("prefix").alias("pos", "token"))
@@ -136,7 +143,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pairs = star.unionByName(inside)
     swap = F.col("a") > F.col("b")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.when(swap, F.col("fb")).otherwise(F.col("fa")).alias("fa"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("fa")).otherwise(F.col("fb")).alias("fb"))
-    links = cut(_verified(docs, stored(pairs.distinct()), k, percent))
+    links = cut(_verified(docs, stored(pairs.distinct()), k, percent, unique))
     # classes of rows that repeat a doc_id hang together through it
     same = known.join(classes.select("f", "rep"), "f").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     first = stored(components(links.unionByName(same)))
@@ -146,7 +153,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     x, y = member.alias("x"), member.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.g") != F.col("y.g")) | (F.col("x.pos") == 0)) & near(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")))
     rest = rest.select(F.col("x.rep").alias("a"), F.col("x.f").alias("fa"), F.col("y.rep").alias("b"), F.col("y.f").alias("fb")).distinct()
-    more = _verified(docs, stored(rest), k, percent)
+    more = _verified(docs, stored(rest), k, percent, unique)
     last = components(more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return all_docs.select("doc_id", F.col("n").alias("n_shingles")).join(last, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
