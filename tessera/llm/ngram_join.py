@@ -16,8 +16,6 @@ from tessera.llm.shingles import digest, shingle_sets
 COMMON_LEAST, COMMON_MOST = 32, 1 << 19
 #: Rows of a side that may be broadcast.
 SMALL_SIDE = 500_000
-#: Leaders against which a document is verified at first.
-LEADERS = 2
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -140,9 +138,6 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (F.least(n - i, m - j) >= need)
 
     star = met.where((F.col("rep") != F.col("leader.rep")) & near(F.col("n"), F.col("leader.n"), F.col("pos"), F.col("leader.pos"))).select(F.col("rep").alias("a"), F.col("f").alias("fa"), F.col("leader.rep").alias("b"), F.col("leader.f").alias("fb"))
-    # the leaders that a document meets most often; pairs with others follow below where they still matter
-    star = star.groupBy("a", "fa", "b", "fb").agg(F.count("*").alias("met"))
-    star = star.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))).where(F.col("place") <= LEADERS).select("a", "fa", "b", "fb")
     c, h = classes.alias("c"), classes.groupBy("g").agg(F.min("rep").alias("rep"), F.min_by("f", "rep").alias("f")).alias("h")
     inside = c.join(h, "g").where("c.rep <> h.rep").select(F.col("c.rep").alias("a"), F.col("c.f").alias("fa"), F.col("h.rep").alias("b"), F.col("h.f").alias("fb"))
     pairs = star.unionByName(inside)
