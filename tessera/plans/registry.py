@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from tessera.functions.vectors import cosine
 from tessera.operators.grouping import sessions, top_k
 from tessera.operators.joins import asof_join, range_join, salted_join
 from tessera.plans.sql import PAIRS, SAME
-from tessera.sources.tables import register, round_trip, table
+from tessera.sources.tables import TABLES, register, round_trip, table
 from tessera.streaming.events import closed_days, daily_counts, first_of_each
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def of_sql(text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, tuple(t for t in TABLES if re.search(rf"\b{t}\b", text)))
         return spark.sql(text)
 
     return query
