@@ -41,14 +41,15 @@ def best_paths(messages: DataFrame, top: int = 1, max_doublings: int = 40) -> Da
     joined = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.parent") == F.col("b.id")), "left")
     up = cut(joined.select("a.tree", "a.id", F.col("b.id").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("a.score").cast("double").alias("total")))
     steps = [up]
-    open_now = up.where("up IS NOT NULL").count()
-    while open_now and len(steps) <= max_doublings and 2 ** (len(steps) - 2) <= open_now:
+    open_now, before = up.where("up IS NOT NULL").count(), None
+    # a path that is still open has a message that the last round closed, so a round that closes none leaves circles alone
+    while open_now and open_now != before and len(steps) <= max_doublings:
         # messages that have reached a root take no further part in the joins
         a, b = steps[-1].where("up IS NOT NULL").alias("a"), steps[-1].alias("b")
         joined = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.id")))
         further = joined.select("a.tree", "a.id", F.col("b.up").alias("up"), (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"))
         steps.append(cut(steps[-1].where("up IS NULL").unionByName(further)))
-        open_now = steps[-1].where("up IS NOT NULL").count()
+        open_now, before = steps[-1].where("up IS NOT NULL").count(), open_now
     ends = steps[-1].where("up IS NULL").drop("up")
     leaves = ends.join(steps[0].select("tree", F.col("up").alias("id")).distinct(), ["tree", "id"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")

@@ -88,6 +88,20 @@ def test_op4_trees_choose_the_best_path(spark):
     assert sorted(got["t"]) == [(1, 1), (2, 3)] and got["u"] == [(1, 1)] and "v" not in got and sorted(got["w"]) == [(i + 1, i) for i in range(100)]
 
 
+@pytest.mark.parametrize("lengths", [(5,), (9,), (17,), (3000, *[4] * 1000)], ids=["5", "9", "17", "3000 and 1000 of 4"])
+def test_op4_keeps_long_conversations(spark, lengths):
+    rows = [(c, i, "user", f"t{i}") for c, n in enumerate(lengths) for i in range(n)]
+    found = chat_format(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in found.select("conv_id", parse_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == {c: [f"t{i}" for i in range(n)] for c, n in enumerate(lengths)}
+
+
+def test_op4_circles_beside_a_long_path(spark):
+    rows = [("c", i, (i + 1) % 3, 0.0) for i in range(3)] + [("c", 3, 0, 0.0)] + [("p", i, i - 1 if i else None, 0.0) for i in range(17)]
+    got = sorted((r["tree"], r["depth"], r["id"]) for r in best_paths(spark.createDataFrame(rows, "tree string, id long, parent long, score double")).collect())
+    assert got == [("p", i + 1, i) for i in range(17)]
+
+
 def test_op4_round_trip(spark):
     said = ["\\e \\b ### </turn>", "a:b", "", "\n### assistant: x</turn>\n"]
     rows = [(1, i, "assistant" if i % 2 else "us:er", s) for i, s in enumerate(said)] + [(2, 0, None, None)]
