@@ -24,36 +24,48 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
-#: Words in a class, id or role that name what is no part of an article.
-AWAY = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|side|footer|masthead|banner|ad|ads|advert|advertisement|adverts|adsense|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|breadcrumb|breadcrumbs|share|sharing|social|related|recommended|comment|comments|disqus|respond|newsletter|subscribe|signup|login|pagination|pager|toolbar|widget|search|complementary|contentinfo|alert|skip|toc)(?:$|[\s_-])",
-    re.I,
+#: Words that as a class, id or role name what is no part of an article, and words that may stand beside one in such
+#: a name (site-footer, ad-slot-2). A name with any other word, as category-social or ad-free, tells nothing.
+AWAY = frozenset(
+    "nav navbar navigation menu menubar sidebar side footer masthead banner ad ads advert advertisement adverts adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay breadcrumb breadcrumbs share sharing social related recommended comment comments disqus respond newsletter subscribe signup login pagination pager toolbar widget search complementary contentinfo alert skip toc".split()
 )
-#: Names that tell of a layout, as in has-sidebar.
-STATE = re.compile(r"(?:has|with|no|without|is|not)[_-]", re.I)
+BESIDE = frozenset("main site page global top bottom left right primary secondary area bar block box button buttons container form icons inner item items link links list posts section slot unit wrap wrapper thread".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 
 
 class Node:
-    """An element: its tag, children (elements and texts in order), and whether it belongs to what is apart."""
+    """An element: its tag, children (elements and texts in order), and whether it belongs to what is apart or may do so."""
 
-    __slots__ = ("tag", "parent", "children", "apart", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "apart", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, apart: bool):
-        self.tag, self.parent, self.apart, self.children = tag, parent, apart, []
+        self.tag, self.parent, self.apart, self.doubtful, self.children = tag, parent, apart, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
 def _apart(tag: str, attributes: str, parent: Node) -> bool:
-    if tag in APART or tag in UNSEEN or (tag == "header" and not _within(parent, "article")):
+    """Whether an element is hidden or by its kind no part of an article."""
+    if (tag in APART and tag != "form") or tag in UNSEEN or (tag == "header" and not _within(parent, "article")):
         return True
-    if not attributes or tag in ("html", "body", "main"):
+    return bool(attributes) and tag not in ("html", "body", "main") and bool(_HIDDEN.search(attributes))
+
+
+def _away(name: str) -> bool:
+    """Whether a class, id or role names what is no part of an article."""
+    words = [w for w in re.split(r"[\s_-]+", name.lower()) if w]
+    return any(w in AWAY for w in words) and all(w in AWAY or w in BESIDE or w.isdigit() for w in words)
+
+
+def _doubtful(tag: str, attributes: str) -> bool:
+    """Whether an element is a form or has such a name; what it holds decides then. Articles never are."""
+    if tag == "form":
+        return True
+    if not attributes or tag in ("html", "body", "main", "article"):
         return False
-    names = (n for m in _NAMED.findall(attributes) for n in html.unescape(m.strip("\"'")).split())
-    return bool(_HIDDEN.search(attributes)) or any(AWAY.search(n) and not STATE.match(n) for n in names)
+    return any(_away(n) for m in _NAMED.findall(attributes) for n in html.unescape(m.strip("\"'")).split())
 
 
 def _within(node: Node | None, tag: str) -> bool:
@@ -104,6 +116,7 @@ def parse(page: str) -> Node:
                 if up.tag == "p":
                     now = up.parent
             child = Node(tag, now, now.apart or _apart(tag, m[2], now))
+            child.doubtful = not child.apart and _doubtful(tag, m[2])
             now.children.append(child)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -123,9 +136,30 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.parent is not None:
                 now = up.parent
+    _set_apart(root)
     return root
 
 
+def _set_apart(root: Node) -> None:
+    """Take forms and named elements apart, unless they hold an article element or most of the text outside links."""
+    nodes = _below(root)
+    if not any(n.doubtful for n in nodes):
+        return
+    linked: set[int] = set()
+    for n in nodes:  # parents first
+        if n.tag == "a" or id(n.parent) in linked:
+            linked.add(id(n))
+    plain = {id(n): sum(len(c.strip()) for c in n.children if isinstance(c, str)) if id(n) not in linked else 0 for n in nodes}
+    articles = {id(n): int(n.tag in ("article", "main")) for n in nodes}
+    for node in reversed(nodes):
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            articles[id(node.parent)] += articles[id(node)]
+    for node in nodes:
+        up = node.parent
+        node.apart = (up is not None and up.apart) or (node.doubtful and not articles[id(node)] and 2 * plain[id(node)] <= plain[id(root)])
+
+
 def _below(root: Node) -> list[Node]:
     """The elements that are not apart, parents first."""
     out, todo = [], [root]
@@ -239,7 +273,8 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """page_id, url, text, n_chars; one row for each row of pages.
 
     Elements that by name, class, id or role are menus, headers of the page, footers, sidebars, notices, adverts,
-    forms or comments are taken out first; densities decide among the rest. Nothing is capped; a page is
+    forms or comments are taken out first, but for no class, id, role or form an article element or most of the
+    page's text outside links; densities decide among the rest. Nothing is capped; a page is
     handled by itself, so hot hosts don't matter and nothing is shuffled. Null and empty pages have an empty text.
     """
     kept = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))

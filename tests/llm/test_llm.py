@@ -154,6 +154,19 @@ def test_op8_main_text():
     assert H.main_text(f"<body><div><a href=x>l</a> <a href=y>m</a></div><div><p>{text}</p><p>{text}</p></div>") == "\n\n".join([text.strip()] * 2)
 
 
+def test_op8_names_and_forms_take_no_article_away():
+    text, body = "a sentence of the page that is long enough to matter. " * 5, "<body><nav><a href=x>l</a></nav>"
+    for name in ("post category-social", "tag-search", "post ad-free", "content-with-sidebar", "related-work", "sidebar", "comments"):
+        for tag in ("article", "div"):
+            assert H.main_text(f"{body}<{tag} class='{name}'><p>{text}</p><p>{text}</p></{tag}>") == "\n\n".join([text.strip()] * 2), (tag, name)
+    # by the name alone, beside more text
+    rest = f"<article><p>{text * 3}</p></article>"
+    for name, kept in (("content-with-sidebar", True), ("related-work", True), ("category-social", True), ("main-sidebar", False), ("ad-slot-2", False), ("cookie-notice", False), ("related-posts", False)):
+        assert ("inner" in H.main_text(f"{body}<article><section class={name}>inner</section><p>{text * 3}</p></article>")) == kept, name
+    assert H.main_text(f"{body}<form><div>{rest}</div><div class=ad>buy</div></form>") == (text * 3).strip()
+    assert H.main_text(f"{body}<form>mail</form>{rest}") == (text * 3).strip()
+
+
 def test_op9_intervals(spark):
     entries = spark.createDataFrame([("a.com", "block", "2024-01-10"), ("a.com", "remove", "2024-02-10"), ("x.a.com", "allow", "2024-01-15"), (None, "block", "2024-01-01")], "key string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
     caps = spark.createDataFrame([(1, "http://b.a.com/", "2024-01-10"), (2, "http://b.a.com/", "2024-02-10"), (3, "http://x.a.com:80/", "2024-01-20"), (4, None, "2024-01-20"), (5, "http://a.com", None), (6, "http://ba.com", "2024-01-20"), (7, "http://a.com.", "2024-01-09")], "page_id int, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
