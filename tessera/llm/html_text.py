@@ -141,7 +141,11 @@ def parse(page: str) -> Node:
 
 
 def _set_apart(root: Node) -> None:
-    """Take forms and named elements apart, unless they hold an article element or most of the text outside links."""
+    """Take forms and named elements apart, unless they hold an article element or most of the text outside links.
+
+    Most is over half, and over nine tenths where an article or main element stands elsewhere: an advert may be
+    longer than a short article.
+    """
     nodes = _below(root)
     if not any(n.doubtful for n in nodes):
         return
@@ -157,7 +161,8 @@ def _set_apart(root: Node) -> None:
             articles[id(node.parent)] += articles[id(node)]
     for node in nodes:
         up = node.parent
-        node.apart = (up is not None and up.apart) or (node.doubtful and not articles[id(node)] and 2 * plain[id(node)] <= plain[id(root)])
+        rest = plain[id(root)] - plain[id(node)]
+        node.apart = (up is not None and up.apart) or (node.doubtful and not articles[id(node)] and plain[id(node)] <= (9 if articles[id(root)] else 1) * rest)
 
 
 def _below(root: Node) -> list[Node]:
@@ -203,15 +208,12 @@ def select(root: Node) -> list[Node]:
     """The elements that hold the main text, in page order.
 
     The element with the greatest sum of densities is the first choice; the least density on its path to the
-    body is the threshold. From the body down, every element at or over the threshold contributes the subtree
-    with the greatest sum below it. What is chosen inside an article or main element widens to that element.
+    body is the threshold. Every element at or over the threshold that is not chosen yet contributes the subtree
+    with the greatest sum below it. What is chosen inside an article element, or inside a main element without
+    articles, widens to that element if it is at or over the threshold too; what has most of its text outside links
+    in such elements is not chosen whole.
     """
     nodes = measure(root)
-    marked = [n for n in nodes if n.tag in ("article", "main") and n.chars]
-    outer = [n for n in marked if n.tag == "article" and not _within(n.parent, "article")] or marked
-    if outer:
-        best = max(outer, key=lambda n: (n.chars - n.link_chars, n.total))
-        return [best]
     best = max(nodes, key=lambda n: n.total)
     if not best.total:
         return [root]
@@ -220,16 +222,37 @@ def select(root: Node) -> list[Node]:
         if up.tag != "html":
             threshold = min(threshold, up.density)
         up = up.parent
-    chosen, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        if node is not root and node.density >= threshold:
-            chosen.append(max(_below(node), key=lambda n: n.total))
-            if not chosen[-1].total:
-                chosen[-1] = node
-        else:
-            todo += [c for c in reversed(node.children) if not isinstance(c, str) and not c.apart]
-    return chosen or [best]
+    peak = {id(n): n for n in nodes}
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        if (up := node.parent) is not None:
+            if peak[id(node)].total >= peak[id(up)].total and peak[id(node)].total > up.total:
+                peak[id(up)] = peak[id(node)]
+            if node.tag == "article" or id(node) in holds:
+                holds.add(id(up))
+    home: dict[int, Node | None] = {}
+    for node in nodes:  # parents first
+        found = home.get(id(node.parent))
+        home[id(node)] = node if found is None and (node.tag == "article" or (node.tag == "main" and id(node) not in holds)) else found
+    marked = {id(n): n.chars - n.link_chars if home[id(n)] is n else 0 for n in nodes}
+    for node in reversed(nodes):
+        if home[id(node)] is None and (outer := [c for c in node.children if not isinstance(c, str) and not c.apart]):
+            marked[id(node)] = sum(marked[id(c)] for c in outer)
+    picked: set[int] = set()
+    inside: set[int] = set()
+    for node in nodes:
+        if id(node.parent) in inside:
+            inside.add(id(node))
+        elif node is not root and node.chars and node.density >= threshold:
+            chosen = peak[id(node)]
+            if (around := home[id(chosen)]) is not None:
+                if around.density >= threshold:  # so it is for the element that holds the first choice
+                    picked.add(id(around))
+            elif 2 * marked[id(chosen)] <= chosen.chars - chosen.link_chars:
+                picked.add(id(chosen))
+        if id(node) in picked:
+            inside.add(id(node))
+    return [n for n in nodes if id(n) in picked and id(n.parent) not in inside] or [best]
 
 
 def blocks(node: Node) -> list[str]:

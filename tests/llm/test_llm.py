@@ -167,6 +167,24 @@ def test_op8_names_and_forms_take_no_article_away():
     assert H.main_text(f"{body}<form>mail</form>{rest}") == (text * 3).strip()
 
 
+def test_op8_densities_decide_between_articles():
+    one, two = ("a sentence of the page that is long enough to matter. " * 5).strip(), ("another story that also has a good many words. " * 6).strip()
+    links, teaser = "<ul>" + "".join(f"<li><a href={i}>link number {i}</a>" for i in range(12)) + "</ul>", "<article><h2><a href=x>read about another story</a></h2><p>Short.</p></article>"
+    first, body = f"<article><h1>A</h1><p>{one}</p><p>{one}</p></article>", f"<div><h1>A</h1><p>{one}</p><p>{two}</p></div>"
+    cases = [
+        (f"<main>{first}{links}<article><h1>B</h1><p>{two}</p></article></main>", ["A", one, one, "B", two]),
+        (f"<article><p>{one}</p></article>{links}<article><p>{two}</p></article>", [one, two]),
+        (f"{body}{teaser}{links}", ["A", one, two]), (f"<main>{teaser}{body}</main>{links}", ["A", one, two]),
+        (f"<article>{one}</article>{links}", [one]), (f"<main><h1>A</h1><div><p>{one}</p><p>{two}</p></div></main>{links}", ["A", one, two]),
+    ]
+    for page, expected in cases:
+        assert H.main_text(f"<body><nav><a href=x>l</a></nav>{page}") == "\n\n".join(expected), page
+
+
+def test_op8_short_articles_beside_longer_adverts():
+    assert H.main_text("<body><div class=ad>Buy this now, it is very cheap and very good.</div><article><h1>Title.</h1><p>Few words.</article>") == "Title.\n\nFew words."
+
+
 def test_op9_intervals(spark):
     entries = spark.createDataFrame([("a.com", "block", "2024-01-10"), ("a.com", "remove", "2024-02-10"), ("x.a.com", "allow", "2024-01-15"), (None, "block", "2024-01-01")], "key string, action string, listed_at string").withColumn("listed_at", F.col("listed_at").cast("timestamp_ntz"))
     caps = spark.createDataFrame([(1, "http://b.a.com/", "2024-01-10"), (2, "http://b.a.com/", "2024-02-10"), (3, "http://x.a.com:80/", "2024-01-20"), (4, None, "2024-01-20"), (5, "http://a.com", None), (6, "http://ba.com", "2024-01-20"), (7, "http://a.com.", "2024-01-09")], "page_id int, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
