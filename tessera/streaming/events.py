@@ -20,13 +20,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that its source holds and return what its sink has got."""
+    """Run a stream over all that its source holds and return what its sink has got; its rows stay on the driver, so for small aggregates alone."""
     spark, name = stream.sparkSession, f"sink_{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 
 
+def written(stream: DataFrame) -> DataFrame:
+    """Run an append stream over all that its source holds into Parquet files in the shared folder, and read them back."""
+    spark, path = stream.sparkSession, scratch(stream.sparkSession)
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", scratch(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling windows in complete mode: the same rows as the batch query."""
     counts = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -42,7 +50,7 @@ def closed_days(spark: SparkSession, sf_dir: str, delay: str = "1 hour") -> Data
 def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events without repeats of their id inside the watermark."""
     once = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
-    return drained(once, "append").groupBy("event_type").agg(F.count("*").alias("n"))
+    return written(once).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def micro_batches(stream: DataFrame, each: Callable[[DataFrame, int], None]) -> None:

@@ -28,3 +28,12 @@ def test_query_matches_oracle(spark, con, name):
 def test_the_comparison_sees_a_changed_value(spark, con):
     sql = ORACLES["join_cross"].replace("n_name", "upper(n_name) || 'x' AS n_name")
     assert rows_of_query(QUERIES["join_cross"](spark, SF)) != rows_of_oracle(con, sql)
+
+
+def test_stream_dedup_keeps_no_rows_on_the_driver(spark):
+    def sinks():
+        return {t.name for t in spark.catalog.listTables() if t.name.startswith("sink_")}
+
+    before = sinks()
+    assert QUERIES["stream_dedup"](spark, SF).count() == 5
+    assert sinks() == before
