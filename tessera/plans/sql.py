@@ -25,7 +25,7 @@ SAME: dict[str, str] = {
     "not_in_nulls": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_nationkey > 20 THEN 3 ELSE s_nationkey END FROM supplier WHERE s_nationkey > 12)",
     "join_left": "SELECT o_orderkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'",
     "join_right": "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'P'",
-    "join_full": "SELECT o.o_orderkey, l.l_orderkey, l.l_quantity FROM (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o FULL JOIN (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0) l ON o.o_orderkey = l.l_orderkey",
+    "join_full": "SELECT o_orderkey, l_orderkey, l_quantity FROM orders FULL JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'",
     "join_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)",
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",

@@ -37,3 +37,12 @@ def test_stream_dedup_keeps_no_rows_on_the_driver(spark):
     before = sinks()
     assert QUERIES["stream_dedup"](spark, SF).count() == 5
     assert sinks() == before
+
+
+def test_join_full_holds_all_rows_of_both_tables(spark):
+    orders, lines = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("orders", "lineitem"))
+    keys, returned = {r["o_orderkey"] for r in orders}, [r["l_orderkey"] for r in lines if r["l_returnflag"] == "R"]
+    hit = [k for k in returned if k in keys]
+    expected = [(k, k) for k in hit] + [(k, None) for k in keys - set(hit)] + [(None, r["l_orderkey"]) for r in lines if r["l_returnflag"] != "R" or r["l_orderkey"] not in keys]
+    got = [(r["o_orderkey"], r["l_orderkey"]) for r in QUERIES["join_full"](spark, SF).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
