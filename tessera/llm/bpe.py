@@ -7,6 +7,7 @@ import json
 import os
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,11 +16,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tessera.llm.common import stored
+from tessera.llm.common import tuned
 
-#: Characters of text that share one table of word numbers.
-CHUNK_CHARS = 16_000_000
+#: Characters of text that share one table of word numbers, and ids that are put in place or decoded at once.
+CHUNK_CHARS, SLICE_IDS = 8_000_000, 500_000
 #: Printable ASCII, tab, line feed, carriage return and the letters of Latin-1 but ª µ º.
 LATIN = frozenset("\t\n\r") | {chr(c) for c in range(0x20, 0x7F)} | {chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)}
 
@@ -89,9 +92,9 @@ def splitter(path: str):
     return split
 
 
-def _chunks(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, list, list[bytes], _Words]]:
-    """(chunk, ids of documents, their packed word numbers, words) of the texts of one partition, in order."""
-    split, pack = splitter(path), zstandard.ZstdCompressor(level=3, write_content_size=True)
+def _chunks(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, list, list[np.ndarray], _Words]]:
+    """(chunk, ids of documents, their word numbers, words) of the texts of one partition, in order."""
+    split = splitter(path)
 
     def fresh():
         return [], [], _Words(), hashlib.blake2b(digest_size=8), 0
@@ -101,7 +104,7 @@ def _chunks(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, li
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py() or ""
             ids.append(doc)
-            codes.append(pack.compress(np.fromiter(map(words.__getitem__, split(text)), np.uint32).tobytes()))
+            codes.append(np.fromiter(map(words.__getitem__, split(text)), np.uint32))
             seen.update(text.encode())
             seen.update(b"\xff")
             size += len(text) + 100
@@ -112,101 +115,118 @@ def _chunks(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, li
         yield int.from_bytes(seen.digest(), "big", signed=True), ids, codes, words
 
 
+def _dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word, and the order that lists the words by bucket."""
+    own = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(words)) % np.uint32(buckets)
+    return own, np.argsort(own, kind="stable")
+
+
+def _ids_type(path: str) -> type:
+    return np.uint16 if _loaded(path).get_vocab_size() <= 1 << 16 else np.uint32
+
+
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids; one row for each row of docs: the ids of the whole text (null: empty) without special tokens added.
 
-    Chunks of documents number their distinct words, in one pass over the texts whose result is written to the
-    shared folder. The words are shuffled by word, sorted, and each distinct word is encoded once; its ids return
-    to the chunks that hold it, where they are put in place by position. A word has one row in a chunk at most,
-    so no word makes a hot key, and texts are never shuffled, only their word numbers. Files of tokenizers are
-    read on the executors from `path`. Rows that repeat a doc_id are encoded one by one.
+    Chunks of documents number their distinct words. The words of a chunk are dealt by hash to buckets, a packed
+    row for each bucket; a bucket gathers the words of all chunks and encodes each distinct word once, and the
+    ids of its words go back to each chunk, where they are joined by position. No word makes a hot key, as a chunk
+    sends it once; texts are never shuffled, only their word numbers. The number of buckets grows with the root of
+    the size of the text, so that both the words of a bucket and the rows stay few. Nothing is written between:
+    docs is read twice, and a plan that gives other rows the second time fails. Files of tokenizers are read on
+    the executors from `path`. doc_id may have any type that Arrow knows; rows that repeat a doc_id are encoded one
+    by one; an empty table gives an empty one.
     """
     path = path or default_path()
+    tuned(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, int(16 * (chars / CHUNK_CHARS) ** 0.5))
 
-    def numbered(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chunk", "kind", "doc_id", "packed", "no", "word"]
+    def numbers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
         for chunk, ids, codes, words in _chunks(rows, path):
+            place = np.empty(len(words), np.uint32)
+            place[_dealt(list(words), buckets)[1]] = np.arange(len(words), dtype=np.uint32)
             for lo in range(0, len(ids), 500):
-                n = len(ids[lo : lo + 500])
-                yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.ones(n, np.int32)), pa.array(ids[lo : lo + 500], pa.int64()), pa.array(codes[lo : lo + 500], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
-            word = list(words)
-            for lo in range(0, len(word), 20_000):
-                some = word[lo : lo + 20_000]
-                n = len(some)
-                yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(np.arange(lo, lo + n, dtype=np.int32)), pa.array(some, pa.string())], names)
+                packed = [pack.compress(place[c].tobytes()) for c in codes[lo : lo + 500]]
+                n = len(packed)
+                yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.full(n, buckets, np.int32)), pa.array(ids[lo : lo + 500], kind), pa.array(packed, pa.binary())], ["chunk", "bucket", "doc_id", "packed"])
+
+    def words_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        for chunk, _, _, found in _chunks(rows, path):
+            words = list(found)
+            own, order = _dealt(words, buckets)
+            edges = np.searchsorted(own[order], np.arange(buckets + 1)).tolist()
+            full, packed = [], []
+            for bucket, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if a < b:
+                    some = [words[i] for i in order[a:b].tolist()]
+                    full.append(bucket)
+                    packed.append(pack.compress(np.array([b - a, *map(len, some)], np.uint32).tobytes() + "".join(some).encode()))
+            yield pa.record_batch([pa.array(np.full(len(full), chunk)), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bucket", "packed"])
 
     def encoded_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, last, last_ids = _loaded(path), None, None
+        tokenizer, dtype, now, ids_of = _loaded(path), _ids_type(path), None, {}
+        pack, unpack = zstandard.ZstdCompressor(level=3, write_content_size=True), zstandard.ZstdDecompressor()
         for batch in rows:
-            word = batch.column(2).to_pylist()
-            fresh = [w for v, w in zip([last, *word[:-1]], word, strict=True) if v != w]
-            found = iter([e.ids for e in tokenizer.encode_batch(fresh, add_special_tokens=False)])
-            ids = []
-            for w in word:
-                if w != last:
-                    last, last_ids = w, next(found)
-                ids.append(last_ids)
-            size = np.array([len(i) for i in ids], np.int64)
-            flat = np.array([x for i in ids for x in i], np.uint32)
-            ends = np.cumsum(size)
-            chunk, no = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
-            order = np.argsort(chunk, kind="stable")
-            edges = np.flatnonzero(np.concatenate([[True], chunk[order][1:] != chunk[order][:-1], [True]]))
-            out_chunk, out = [], []
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                at = order[a:b]
-                n = size[at]
-                pick = np.repeat(ends[at] - n, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                out_chunk.append(chunk[at[0]])
-                out.append(np.array([len(at)], np.uint32).tobytes() + no[at].tobytes() + n.astype(np.uint32).tobytes() + flat[pick].tobytes())
-            pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
-            yield pa.record_batch([pa.array(np.array(out_chunk, np.int64)), pa.array(np.zeros(len(out), np.int32)), pa.array([None] * len(out), pa.int64()), pa.array([pack.compress(x) for x in out], pa.binary())], ["chunk", "kind", "doc_id", "packed"])
+            packed = []
+            for bucket, block in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if bucket != now:
+                    now, ids_of = bucket, {}
+                raw = unpack.decompress(block)
+                n = int.from_bytes(raw[:4], "little")
+                text, ends = raw[4 * n + 4 :].decode(), np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64).tolist()
+                words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                fresh = [w for w in words if w not in ids_of]
+                for w, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
+                    ids_of[w] = np.array(e.ids, dtype).tobytes()
+                found = [ids_of[w] for w in words]
+                packed.append(pack.compress(np.array([n, *map(len, found)], np.uint32).tobytes() + b"".join(found)))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.nulls(len(packed), kind), pa.array(packed, pa.binary())], ["chunk", "bucket", "doc_id", "packed"])
 
     def placed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, now, parts, start, size, flat = zstandard.ZstdDecompressor(), None, [], None, None, None
+        unpack, dtype, now, parts, flat, start, size = zstandard.ZstdDecompressor(), _ids_type(path), None, {}, None, None, None
         for batch in rows:
-            doc, flats, lengths, total = [], [], [], 0
-            for chunk, kind, doc_id, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            docs_, flats, lengths, total = [], [], [], 0
+            for chunk, bucket, doc, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if chunk != now:
-                    now, parts, start = chunk, [], None
-                raw = np.frombuffer(unpack.decompress(packed), np.uint32)
-                if kind == 0:
-                    n = int(raw[0])
-                    parts.append((raw[1 : n + 1], raw[n + 1 : 2 * n + 1], raw[2 * n + 1 :]))
+                    now, parts, flat = chunk, {}, None
+                raw = unpack.decompress(packed)
+                if bucket < buckets:  # chunks of the same texts are one: what both sent is the same
+                    parts[bucket] = raw
                     continue
-                if start is None:
-                    words = max((int(p[0].max()) + 1 for p in parts if len(p[0])), default=0)
-                    start, size = np.zeros(words, np.int64), np.zeros(words, np.int64)
-                    before = 0
-                    for no, n, ids in parts:
-                        size[no], start[no] = n, before + np.cumsum(n, dtype=np.int64) - n
-                        before += len(ids)
-                    flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.uint32)
-                    parts = []
-                if len(raw) and (int(raw.max()) >= len(size) or not size[raw].all()):
+                if flat is None:  # the words of a chunk come before its texts, by bucket
+                    counts = [int.from_bytes(p[:4], "little") for p in parts.values()]
+                    size = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(p, np.uint32, n, 4) for p, n in zip(parts.values(), counts, strict=True))]).astype(np.int64) // np.dtype(dtype).itemsize
+                    flat = np.frombuffer(b"".join(p[4 * n + 4 :] for p, n in zip(parts.values(), counts, strict=True)), dtype).astype(np.int32)
+                    start, parts = np.cumsum(size) - size, {}
+                codes = np.frombuffer(raw, np.uint32)
+                if len(codes) and int(codes.max()) >= len(size):
                     raise RuntimeError("the words of a chunk are missing: docs gave other rows when read again")
-                n = size[raw]
+                n = size[codes]
                 steps = int(n.sum())
-                flats.append(flat[np.repeat(start[raw], n) + np.arange(steps) - np.repeat(np.cumsum(n) - n, n)].astype(np.int32) if steps else np.zeros(0, np.int32))
+                flats.append(flat[np.repeat(start[codes] - np.cumsum(n) + n, n) + np.arange(steps)])
                 lengths.append(steps)
-                doc.append(doc_id)
+                docs_.append(doc)
                 total += steps
-                if total > 500_000:
-                    yield listed(doc, flats, lengths)
-                    doc, flats, lengths, total = [], [], [], 0
-            if doc:
-                yield listed(doc, flats, lengths)
+                if total > SLICE_IDS:
+                    yield listed(docs_, flats, lengths)
+                    docs_, flats, lengths, total = [], [], [], 0
+            if docs_:
+                yield listed(docs_, flats, lengths)
 
-    def listed(doc: list, flats: list, lengths: list) -> pa.RecordBatch:
+    def listed(docs_: list, flats: list, lengths: list) -> pa.RecordBatch:
         offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flats)))], ["doc_id", "ids"])
+        return pa.record_batch([pa.array(docs_, kind), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flats), pa.int32()))], ["doc_id", "ids"])
 
-    both = "chunk long, kind int, doc_id long, packed binary"
-    chunks = stored(docs.mapInArrow(numbered, f"{both}, no int, word string"), compression="zstd")
-    words = chunks.where("kind = 0").select("chunk", "no", "word")
-    table = words.repartition("word").sortWithinPartitions("word").mapInArrow(encoded_words, both)
-    return chunks.where("kind = 1").select("chunk", "kind", "doc_id", "packed").unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(placed, "doc_id long, ids array<int>")
+    id_type = docs.schema["doc_id"].dataType
+    kind = to_arrow_type(id_type)
+    both = StructType().add("chunk", "long").add("bucket", "integer").add("doc_id", id_type).add("packed", "binary")
+    table = docs.mapInArrow(words_of, "chunk long, bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded_words, both)
+    parts = docs.mapInArrow(numbers, both).unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return parts.mapInArrow(placed, StructType().add("doc_id", id_type).add("ids", ArrayType(IntegerType())))
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -223,9 +243,9 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, text: the pieces of the ids joined, bytes that are no UTF-8 replaced; special tokens are kept.
 
     The join of ids with pieces is on the map side: the piece table, as large as the vocabulary file and no
-    larger, is broadcast, and each batch takes the pieces of all its ids at once.
+    larger, is broadcast, and each slice of a batch takes the pieces of all its ids at once. Null ids count as none.
     """
-    spark = encoded.sparkSession
+    spark = tuned(encoded.sparkSession)
     rows = sorted(piece_table(spark, path).collect())
     by_id: list[bytes] = [b""] * (rows[-1]["id"] + 1)
     for r in rows:
@@ -235,15 +255,22 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(shared.value, pa.large_binary())
         for batch in batches:
-            lists = batch.column(1)
-            taken = pieces.take(lists.flatten())
-            ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-            raw = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            texts = [raw.slice(ends[a], ends[b] - ends[a]).to_pybytes().decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch([batch.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(joined, "doc_id long, ids array<int>, text string")
+            at = batch.column(1).offsets.to_numpy()
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(at, at[first] + SLICE_IDS, "right")) - 1)
+                part = batch.slice(first, last - first)
+                lists = part.column(1)
+                taken = pieces.take(lists.flatten())
+                ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+                raw = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+                own = at[first : last + 1] - at[first]
+                texts = [raw.slice(ends[a], ends[b] - ends[a]).to_pybytes().decode("utf-8", "replace") for a, b in zip(own[:-1], own[1:], strict=True)]
+                yield pa.record_batch([part.column(0), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                first = last
+
+    out = StructType().add("doc_id", encoded.schema["doc_id"].dataType).add("ids", ArrayType(IntegerType())).add("text", "string")
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(joined, out)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

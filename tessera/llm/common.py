@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,25 @@ from pyspark.sql import functions as F
 #: White space as the word and line contracts count it: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Session settings that a job of this package runs under, unless the session sets its own: shuffle files go once the
+#: query that wrote them has ended, and an Arrow batch of long texts has so many bytes at most.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with SETTINGS where it has none of its own; the results returned to the caller run under them too."""
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -24,15 +39,47 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; for small tables and loops."""
-    shared_dir(df.sparkSession)
+    shared_dir(tuned(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables between the jobs of one operator; `drop` removes those that no later job reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = tuned(spark), {}
+
+    def stored(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        df.write.parquet(path, compression=compression)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(found)] = found, path
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the files of tables; whatever was made of them must have been stored before."""
+        for _, path in [self.paths.pop(id(t)) for t in tables]:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_all(self, *but: DataFrame) -> None:
+        kept = {id(t) for t in but}
+        self.drop(*[t for k, (t, _) in list(self.paths.items()) if k not in kept])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A Scratch whose tables all go at the end, also after an error."""
+    own = Scratch(spark)
+    try:
+        yield own
+    finally:
+        own.drop_all()
+
+
 def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: compressed, and with a known size."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).stored(df, compression)
 
 
 def ascii_lower(text: Column) -> Column:
