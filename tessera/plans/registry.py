@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.vectorised import Words, exponential_average, nearest_match, skeleton
 from tessera.functions.vectors import cosine
 from tessera.operators.grouping import sessions, top_k
 from tessera.operators.joins import asof_join, range_join, salted_join
 from tessera.plans.sql import PAIRS, SAME
 from tessera.sources.tables import TABLES, register, round_trip, table
-from tessera.streaming.events import closed_days, daily_counts, first_of_each
+from tessera.ship import shipped
+from tessera.sources.calendar import Calendar
+from tessera.streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +68,35 @@ def formats(kind: str, **options: str) -> Query:
     return lambda spark, sf_dir: round_trip(table(spark, sf_dir, "customer"), kind, **options)
 
 
+def calendar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each day of a month, days without orders too, by the custom connector."""
+    shipped(spark).dataSource.register(Calendar)
+    days = spark.read.format("calendar").option("from", "1996-02-01").option("to", "1996-03-01").option("stretch", "10").load()
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderkey")
+    return days.join(orders, "day", "left").groupBy("day", "weekday", "weekend").agg(F.count("o_orderkey").alias("n"))
+
+
+def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(shipped(spark), sf_dir, "part").select("p_partkey", skeleton("p_name").alias("sound"))
+
+
+def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(shipped(spark), sf_dir, "events").select("event_id", "user_id", "value")
+    return exponential_average(events, "user_id", "event_id", "value", 0.3, "smooth").select("event_id", F.round("smooth", 6).alias("smooth"))
+
+
+def nearest_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(shipped(spark), sf_dir, "events")
+    clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
+    return nearest_match(events.where("event_type = 'purchase'").select("user_id", "ts"), clicks, "user_id", "ts", "click").select("user_id", "ts", F.col("click").cast("long").alias("click"))
+
+
+def words_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shipped(spark).udtf.register("words_of", Words)
+    register(spark, sf_dir, ("part",))
+    return spark.sql("SELECT p_partkey, word, place FROM part, LATERAL words_of(p_name)")
+
+
 def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "orders"), "parquet", ("o_orderstatus",)).where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
@@ -73,7 +105,10 @@ QUERIES: dict[str, Query] = {name: of_sql(text) for name, text in SAME.items()}
 QUERIES |= {
     "join_asof": asof_events, "join_range": range_bands, "join_salted": salted_supply, "top_k": top_orders, "sessions": event_sessions, "cosine": cosine_to_first,
     "format_orc": formats("orc"), "format_json": formats("json"), "format_csv": formats("csv", header="true"), "format_partitioned": partitioned,
-    "stream_daily": daily_counts, "stream_closed_days": closed_days, "stream_dedup": first_of_each,
+    "format_xml": formats("xml", rowTag="customer"), "source_calendar": calendar_orders,
+    "udf_scalar": sounds, "udf_grouped": smoothed, "udf_cogrouped": nearest_clicks, "udf_table": words_of_parts,
+    "stream_daily": streams.daily_counts, "stream_closed_days": streams.closed_days, "stream_dedup": streams.first_of_each, "stream_sliding": streams.sliding_counts, "stream_sessions": streams.closed_sessions,
+    "stream_late": streams.late_days, "stream_join": streams.clicks_and_purchases, "stream_static_join": streams.named_events, "stream_state": streams.running_totals,
 }
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLES: dict[str, str] = SAME | {name: pair[1] for name, pair in PAIRS.items()}
@@ -86,7 +121,19 @@ ORACLES |= {
     "cosine": "SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) f",
     "format_orc": CUSTOMER, "format_json": CUSTOMER, "format_csv": CUSTOMER,
     "format_partitioned": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'",
+    "format_xml": CUSTOMER,
+    "source_calendar": "SELECT CAST(d AS DATE) AS day, CAST(isodow(d) AS INT) AS weekday, isodow(d) > 5 AS weekend, count(o_orderkey) AS n FROM (SELECT unnest(generate_series(TIMESTAMP '1996-02-01', TIMESTAMP '1996-03-01', INTERVAL 1 DAY)) AS d) c LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(d AS DATE) GROUP BY ALL",
+    "udf_scalar": r"SELECT p_partkey, left(lower(p_name), 1) || regexp_replace(substr(lower(p_name), 2), '[aeiouyhw\W\d_]', '', 'g') AS sound FROM part",
+    "udf_grouped": "WITH RECURSIVE e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), s AS (SELECT event_id, user_id, r, value AS smooth FROM e WHERE r = 1 UNION ALL SELECT e.event_id, e.user_id, e.r, 0.3 * e.value + 0.7 * s.smooth FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1) SELECT event_id, round(smooth, 6) AS smooth FROM s",
+    "udf_cogrouped": "SELECT b.user_id, b.ts, (SELECT c.event_id FROM events c WHERE c.event_type = 'click' AND c.user_id = b.user_id ORDER BY abs(epoch_us(c.ts) - epoch_us(b.ts)), c.ts, c.event_id LIMIT 1) AS click FROM events b WHERE b.event_type = 'purchase'",
+    "udf_table": "SELECT p_partkey, string_split(p_name, ' ')[i] AS word, CAST(i - 1 AS INT) AS place FROM (SELECT p_partkey, p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part) w",
     "stream_daily": "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_closed_days": "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1",
-    "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
+    "stream_dedup": "SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY event_type",
+    "stream_sliding": "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') - INTERVAL '6 hours']) AS start FROM events) t WHERE start + INTERVAL '12 hours' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY start",
+    "stream_sessions": "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - before < INTERVAL '1 hour' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e) t GROUP BY user_id, s HAVING max(ts) + INTERVAL '1 hour' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)",
+    "stream_late": "SELECT date_trunc('day', ts) AS day, count(*) AS n FROM events WHERE date_trunc('day', ts) < (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1",
+    "stream_join": "SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '2' HOUR",
+    "stream_static_join": "SELECT n_name, count(*) AS n FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey GROUP BY n_name",
+    "stream_state": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id",
 }

@@ -22,7 +22,9 @@ SAME: dict[str, str] = {
     "filter_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND p_size BETWEEN 5 AND 20",
     "correlated_scalar": "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
     "not_exists": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
-    "not_in_nulls": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_nationkey > 20 THEN 3 ELSE s_nationkey END FROM supplier WHERE s_nationkey > 12)",
+    "not_in_nulls": """SELECT 'null in the list' AS what, count(*) AS n FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN s_nationkey > 20 THEN NULL ELSE s_nationkey END FROM supplier)
+        UNION ALL SELECT 'null asked for', count(*) FROM (SELECT CASE WHEN n_nationkey = 3 THEN NULL ELSE n_nationkey END AS k FROM nation) t WHERE k NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey > 12)
+        UNION ALL SELECT 'empty list', count(*) FROM (SELECT CASE WHEN n_nationkey = 3 THEN NULL ELSE n_nationkey END AS k FROM nation) t WHERE k NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 0)""",
     "join_left": "SELECT o_orderkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'",
     "join_right": "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'P'",
     "join_full": "SELECT o_orderkey, l_orderkey, l_quantity FROM orders FULL JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R'",
@@ -30,10 +32,17 @@ SAME: dict[str, str] = {
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_theta": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",
     "join_interval": "SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL '2' HOUR",
+    "join_hint_broadcast": "SELECT /*+ BROADCAST(n) */ s_suppkey, n_name FROM supplier s JOIN nation n ON s_nationkey = n_nationkey",
+    "join_hint_merge": "SELECT /*+ MERGE(o) */ c_custkey, o_orderkey FROM customer c JOIN orders o ON c_custkey = o_custkey",
+    "join_hint_hash": "SELECT /*+ SHUFFLE_HASH(c) */ c_custkey, o_orderkey FROM customer c JOIN orders o ON c_custkey = o_custkey",
     "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     "aggregate_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(*) AS n FROM events GROUP BY event_type",
     "distinct_counts": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag",
     "statistics": "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS r, round(covar_samp(l_quantity, l_discount), 6) AS cs, round(median(l_extendedprice), 4) AS med FROM lineitem GROUP BY l_returnflag",
+    "percentiles": "SELECT l_returnflag, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS q1, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice), 4) AS p90, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity) AS mid FROM lineitem GROUP BY l_returnflag",
+    "max_by": "SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS last_price, min_by(o_orderpriority, o_orderkey) AS first_priority FROM orders GROUP BY o_custkey",
+    "bool_aggregates": "SELECT l_returnflag, l_linestatus, bool_and(l_quantity < 50) AS all_below, bool_or(l_discount > 0.09) AS any_high FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "window_nth": "SELECT event_id, nth_value(event_id, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS third FROM events",
     "window_lag": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after2, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_id FROM events",
     "window_rows": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING), 6) AS moving FROM events",
     "window_range": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '6' HOUR PRECEDING AND CURRENT ROW) AS recent FROM events",
@@ -47,6 +56,7 @@ SAME: dict[str, str] = {
     "recursive_cte": "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t",
     "strings": "SELECT p_partkey, upper(p_name) AS u, substring(p_name, 2, 4) AS s, replace(p_brand, 'Brand', 'B') AS b, trim(p_type) AS t, reverse(p_name) AS r, lpad(p_brand, 12, '*') AS lp, left(p_type, 3) AS l3, translate(p_name, 'aeiou', '12345') AS tr, md5(lower(p_name)) AS h FROM part",
     "dates": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, CAST(dayofyear(o_orderdate) AS INT) AS d, CAST(last_day(o_orderdate) AS DATE) AS e FROM orders",
+    "rounding": "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, CAST(sign(l_discount - 0.05) AS INT) AS s, CAST(floor(sqrt(l_quantity)) AS BIGINT) AS q, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS l, coalesce(nullif(l_linenumber, 1), 0) AS n FROM lineitem",
     "math": "SELECT l_orderkey, l_linenumber, round(exp(l_discount), 8) AS e, round(ln(l_quantity + 1), 8) AS n, round(pow(l_quantity, 2), 4) AS p, abs(l_tax - 0.05) AS a, l_orderkey % 7 AS m FROM lineitem",
 }
 
@@ -93,4 +103,80 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT CAST(window(ts, '6 hours').start AS TIMESTAMP_NTZ) AS start, event_type, count(*) AS n FROM events GROUP BY window(ts, '6 hours'), event_type",
         "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     ),
+    "filter_rlike": (
+        "SELECT p_partkey, p_name FROM part WHERE p_name RLIKE '^[a-m].*e' AND NOT p_type RLIKE '(?i)promo'",
+        "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*e') AND NOT regexp_matches(p_type, '(?i)promo')",
+    ),
+    "posexplode": (
+        "SELECT p_partkey, pos, word FROM part LATERAL VIEW posexplode(split(p_name, ' ')) w AS pos, word",
+        "SELECT p_partkey, CAST(i - 1 AS INT) AS pos, string_split(p_name, ' ')[i] AS word FROM (SELECT p_partkey, p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part) w",
+    ),
+    "explode_outer": (
+        "SELECT p_partkey, word FROM part LATERAL VIEW OUTER explode(filter(split(p_name, ' '), w -> length(w) > 6)) v AS word",
+        "SELECT p_partkey, word FROM part LEFT JOIN (SELECT p_partkey AS k, unnest(list_filter(string_split(p_name, ' '), lambda w: length(w) > 6)) AS word FROM part) v ON k = p_partkey",
+    ),
+    "pipe_syntax": (
+        "FROM orders |> WHERE o_orderstatus = 'F' |> EXTEND o_totalprice * 2 AS twice |> AGGREGATE count(*) AS n, round(sum(twice), 2) AS total GROUP BY o_orderpriority |> ORDER BY n DESC",
+        "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice * 2), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority",
+    ),
+    "moments": (
+        "SELECT l_returnflag, round(skewness(l_extendedprice), 6) AS skew, round(kurtosis(l_extendedprice), 6) AS kurt FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) AS skew, round(avg(d * d * d * d) / pow(avg(d * d), 2) - 3, 6) AS kurt FROM (SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS d FROM lineitem) t GROUP BY l_returnflag",
+    ),
+    "ordered_set": (
+        "SELECT o_custkey, array_join(array_sort(collect_set(o_orderpriority)), ',') AS priorities FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities FROM orders GROUP BY o_custkey",
+    ),
+    "mode": (
+        "SELECT o_custkey, mode() WITHIN GROUP (ORDER BY o_orderpriority) AS usual FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, o_orderpriority AS usual FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL) c) t WHERE r = 1",
+    ),
+    "approx_distinct": (
+        "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, abs(approx_count_distinct(l_partkey, 0.02) - count(DISTINCT l_partkey)) <= 0.08 * count(DISTINCT l_partkey) AS near, abs(hll_sketch_estimate(hll_sketch_agg(l_partkey, 14)) - count(DISTINCT l_partkey)) <= 0.04 * count(DISTINCT l_partkey) AS hll_near FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, count(DISTINCT l_partkey) AS n, TRUE AS near, TRUE AS hll_near FROM lineitem GROUP BY l_returnflag",
+    ),
+    "hll_union": (
+        "WITH s AS (SELECT l_returnflag, hll_sketch_agg(l_partkey, 14) AS k FROM lineitem GROUP BY l_returnflag), e AS (SELECT count(DISTINCT l_partkey) AS n FROM lineitem) SELECT n, abs((SELECT hll_sketch_estimate(hll_union_agg(k)) FROM s) - n) <= 0.04 * n AS near FROM e",
+        "SELECT count(DISTINCT l_partkey) AS n, TRUE AS near FROM lineitem",
+    ),
+    "approx_percentile": (
+        "WITH q AS (SELECT l_returnflag AS flag, approx_percentile(l_extendedprice, 0.75, 1000) AS v FROM lineitem GROUP BY l_returnflag) SELECT flag, abs(avg(CASE WHEN l_extendedprice <= v THEN 1.0D ELSE 0.0D END) - 0.75D) <= 0.005D AS near FROM q JOIN lineitem ON l_returnflag = flag GROUP BY flag",
+        "SELECT DISTINCT l_returnflag AS flag, TRUE AS near FROM lineitem",
+    ),
+    "more_strings": (
+        "SELECT p_partkey, instr(p_name, 'a') AS i, repeat(p_brand, 2) AS r, split_part(p_name, ' ', 1) AS w, concat(p_name, '-', p_brand) AS c, array_join(regexp_extract_all(p_name, '([aeiou])', 1), '') AS v, regexp_extract(p_type, '^(\\\\w+)', 1) AS first_word, concat_ws('/', p_brand, p_type) AS j, ascii(p_name) AS a, char_length(p_name) AS n FROM part",
+        "SELECT p_partkey, CAST(instr(p_name, 'a') AS INT) AS i, repeat(p_brand, 2) AS r, split_part(p_name, ' ', 1) AS w, concat(p_name, '-', p_brand) AS c, array_to_string(regexp_extract_all(p_name, '([aeiou])', 1), '') AS v, regexp_extract(p_type, '^(\\w+)', 1) AS first_word, concat_ws('/', p_brand, p_type) AS j, CAST(ascii(p_name) AS INT) AS a, CAST(length(p_name) AS INT) AS n FROM part",
+    ),
+    "more_dates": (
+        "SELECT o_orderkey, day(o_orderdate) AS d, weekofyear(o_orderdate) AS w, CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS m, datediff(o_orderdate, DATE '1995-01-01') AS n, date_format(o_orderdate, 'yyyy-MM-dd') AS f, CAST(add_months(o_orderdate, 1) AS DATE) AS a, CAST(date_add(o_orderdate, 45) AS DATE) AS p, CAST(months_between(date_trunc('MONTH', o_orderdate), DATE '1995-01-01') AS INT) AS b FROM orders",
+        "SELECT o_orderkey, CAST(day(o_orderdate) AS INT) AS d, CAST(weekofyear(o_orderdate) AS INT) AS w, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS n, strftime(o_orderdate, '%Y-%m-%d') AS f, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS a, CAST(o_orderdate AS DATE) + 45 AS p, CAST(date_diff('month', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS INT) AS b FROM orders",
+    ),
+    "more_arrays": (
+        "SELECT p_partkey, array_join(slice(split(p_name, ' '), 1, 2), '+') AS two, array_contains(split(p_type, ' '), 'PROMO') AS promo, array_join(transform(split(p_name, ' '), w -> upper(w)), ' ') AS up, size(filter(split(p_name, ' '), w -> length(w) > 4)) AS long_words, aggregate(split(p_name, ' '), 0, (s, w) -> s + length(w)) AS letters, exists(split(p_name, ' '), w -> w LIKE 'b%') AS any_b, array_join(array_distinct(split(p_name, '')), '') AS letters_once FROM part",
+        "SELECT p_partkey, array_to_string(string_split(p_name, ' ')[1:2], '+') AS two, list_contains(string_split(p_type, ' '), 'PROMO') AS promo, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w)), ' ') AS up, CAST(len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4)) AS INT) AS long_words, CAST(length(replace(p_name, ' ', '')) AS INT) AS letters, len(list_filter(string_split(p_name, ' '), lambda w: starts_with(w, 'b'))) > 0 AS any_b, (SELECT string_agg(c, '' ORDER BY i) FROM (SELECT c, min(i) AS i FROM (SELECT unnest(string_split(p_name, '')) AS c, generate_subscripts(string_split(p_name, ''), 1) AS i) t GROUP BY c) u) AS letters_once FROM part",
+    ),
+    "json_parse": (
+        "SELECT event_id, from_json(props, 'k INT').k AS k, t.k2, array_join(map_keys(from_json(props, 'MAP<STRING, STRING>')), ',') AS names, to_json(named_struct('id', event_id)) AS j FROM events LATERAL VIEW json_tuple(props, 'k') t AS k2",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, json_extract_string(props, '$.k') AS k2, array_to_string(json_keys(props), ',') AS names, '{\"id\":' || event_id || '}' AS j FROM events",
+    ),
+    "maps": (
+        "SELECT p_partkey, map_filter(m, (k, v) -> v > 3)['b'] AS b, size(map_filter(m, (k, v) -> v > 3)) AS n, transform_values(m, (k, v) -> v * 10)['a'] AS ten, array_join(array_sort(map_keys(m)), ',') AS names, map_contains_key(m, 'c') AS has_c FROM (SELECT p_partkey, map('a', p_size, 'b', CAST(p_partkey % 7 AS INT)) AS m FROM part) t",
+        "SELECT p_partkey, CASE WHEN p_partkey % 7 > 3 THEN CAST(p_partkey % 7 AS INT) END AS b, CAST(p_size > 3 AS INT) + CAST(p_partkey % 7 > 3 AS INT) AS n, p_size * 10 AS ten, 'a,b' AS names, FALSE AS has_c FROM part",
+    ),
+    "digests": (
+        "SELECT p_partkey, sha2(p_name, 256) AS h, sha1(p_name) AS s, bit_count(p_partkey) AS bits, hex(p_partkey) AS x, base64(encode(p_brand, 'UTF-8')) AS b, xpath_string(concat('<a><b>', p_partkey, '</b></a>'), 'a/b') AS inner_text, crc32(p_name) >= 0 AS c FROM part",
+        "SELECT p_partkey, sha256(p_name) AS h, sha1(p_name) AS s, CAST(bit_count(p_partkey) AS INT) AS bits, hex(p_partkey) AS x, base64(encode(p_brand)) AS b, CAST(p_partkey AS VARCHAR) AS inner_text, TRUE AS c FROM part",
+    ),
+    "urls": (
+        "SELECT page_id, parse_url(url, 'HOST') AS host, parse_url(url, 'PROTOCOL') AS scheme, url_decode(url_encode(url)) = url AS same FROM pages",
+        "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, TRUE AS same FROM pages",
+    ),
+    "sliding_windows": (
+        "SELECT CAST(window(ts, '12 hours', '6 hours').start AS TIMESTAMP_NTZ) AS start, count(*) AS n FROM events GROUP BY window(ts, '12 hours', '6 hours')",
+        "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2000-01-01') - INTERVAL '6 hours']) AS start FROM events) t GROUP BY start",
+    ),
+    "session_windows": (
+        "SELECT user_id, CAST(session_window(ts, '1 hour').start AS TIMESTAMP_NTZ) AS start, count(*) AS n FROM events GROUP BY user_id, session_window(ts, '1 hour')",
+        "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(CASE WHEN ts - before < INTERVAL '1 hour' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) e) t GROUP BY user_id, s",
+    ),
 }

@@ -21,8 +21,13 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share, or in a temporary one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    """A new path in the folder that all executors share, or in a temporary one where none is set and Spark runs in this process (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 

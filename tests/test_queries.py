@@ -35,7 +35,7 @@ def test_stream_dedup_keeps_no_rows_on_the_driver(spark):
         return {t.name for t in spark.catalog.listTables() if t.name.startswith("sink_")}
 
     before = sinks()
-    assert QUERIES["stream_dedup"](spark, SF).count() == 5
+    assert QUERIES["stream_dedup"](spark, SF).count() == 5 and QUERIES["stream_daily"](spark, SF).count()
     assert sinks() == before
 
 
@@ -46,3 +46,11 @@ def test_join_full_holds_all_rows_of_both_tables(spark):
     expected = [(k, k) for k in hit] + [(k, None) for k in keys - set(hit)] + [(None, r["l_orderkey"]) for r in lines if r["l_returnflag"] != "R" or r["l_orderkey"] not in keys]
     got = [(r["o_orderkey"], r["l_orderkey"]) for r in QUERIES["join_full"](spark, SF).collect()]
     assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_late_events_are_late(spark):
+    """Counted with the late delivery in time the first days would hold twice as much."""
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    first = {r["day"]: r["n"] for r in QUERIES["stream_late"](spark, SF).collect()}
+    late = events.where("ts < timestamp_ntz'2024-01-05'").count()
+    assert late and sum(first.values()) == events.where("ts < date_trunc('DAY', (SELECT max(ts) FROM {e}))".format(e="parquet.`" + SF + "/events.parquet`")).count()
