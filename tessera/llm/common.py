@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.ship import shipped
+
 #: White space as the word and line contracts count it: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,7 +21,8 @@ SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """The session with SETTINGS where it has none of its own; the results returned to the caller run under them too."""
+    """The session with SETTINGS where it has none of its own, and this package on its workers; the results returned to the caller run under them too."""
+    shipped(spark)
     for name, value in SETTINGS.items():
         if spark.conf.get(name, None) is None:
             spark.conf.set(name, value)
