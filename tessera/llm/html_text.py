@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from math import e, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.common import tuned
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page, and those whose content is not markup.
 UNSEEN = frozenset("script style noscript template textarea title head iframe object svg canvas audio video select option button datalist math map".split())
@@ -31,6 +34,7 @@ AWAY = frozenset(
 )
 BESIDE = frozenset("main site page global top bottom left right primary secondary area bar block box button buttons container form icons inner item items link links list posts section slot unit wrap wrapper thread".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_LOOSE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 
@@ -46,9 +50,9 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _apart(tag: str, attributes: str, parent: Node) -> bool:
+def _apart(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element is hidden or by its kind no part of an article."""
-    if (tag in APART and tag != "form") or tag in UNSEEN or (tag == "header" and not _within(parent, "article")):
+    if (tag in APART and tag != "form") or tag in UNSEEN or (tag == "header" and not in_article):
         return True
     return bool(attributes) and tag not in ("html", "body", "main") and bool(_HIDDEN.search(attributes))
 
@@ -68,19 +72,36 @@ def _doubtful(tag: str, attributes: str) -> bool:
     return any(_away(n) for m in _NAMED.findall(attributes) for n in html.unescape(m.strip("\"'")).split())
 
 
-def _within(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
+class _Path:
+    """The open elements from the root down, and for each tag, and for blocks, at what depths they stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], defaultdict(list), []
+
+    def open(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.nodes))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def close(self, depth: int) -> None:
+        """Close all elements from this depth on; each is closed once, so a page takes time in proportion to its length."""
+        while len(self.nodes) > depth:
+            tag = self.nodes.pop().tag
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are borne as browsers bear the common cases."""
     root = Node("html", None, False)
-    now, at, n = root, 0, len(page)
+    path, token, at, n = _Path(root), _TOKEN, 0, len(page)
     while at < n:
+        now = path.nodes[-1]
         start = page.find("<", at)
         if start < 0:
             start = n
@@ -88,7 +109,10 @@ def parse(page: str) -> Node:
             now.children.append(page[at:start])
         if start == n:
             break
-        m = _TOKEN.match(page, start)
+        m = token.match(page, start)
+        if not m and token is _TOKEN and _LOOSE.match(page, start):  # a quote that is never closed: quotes mean nothing from here on
+            token = _LOOSE
+            m = token.match(page, start)
         if not m:  # a plain `<`
             now.children.append("<")
             at = start + 1
@@ -97,45 +121,31 @@ def parse(page: str) -> Node:
         if m[1]:
             tag = m[1].lower()
             if tag in ("html", "body"):
-                if tag == "body" and not _within(now, "body"):
-                    now = root
-                    now.children.append(child := Node("body", now, False))
-                    now = child
+                if tag == "body" and not path.at["body"]:
+                    path.close(1)
+                    root.children.append(child := Node("body", root, False))
+                    path.open(child)
                 continue
             if tag in CLOSES:
                 ends, limits = CLOSES[tag]
-                up = now
-                while up.parent is not None and up.tag not in ends and up.tag not in limits:
-                    up = up.parent
-                if up.tag in ends and up.parent is not None:
-                    now = up.parent
-            elif tag in BLOCKS:
-                up = now
-                while up.parent is not None and up.tag != "p" and up.tag not in BLOCKS:
-                    up = up.parent
-                if up.tag == "p":
-                    now = up.parent
-            child = Node(tag, now, now.apart or _apart(tag, m[2], now))
+                if (end := path.deepest(ends)) > path.deepest(limits):
+                    path.close(end)
+            elif tag in BLOCKS and path.blocks and path.nodes[path.blocks[-1]].tag == "p":
+                path.close(path.blocks[-1])
+            now = path.nodes[-1]
+            child = Node(tag, now, now.apart or _apart(tag, m[2], bool(path.at["article"])))
             child.doubtful = not child.apart and _doubtful(tag, m[2])
             now.children.append(child)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else n
             elif tag not in VOID and not (m[2].endswith("/") and tag not in BLOCKS and tag != "a"):
-                now = child
+                path.open(child)
         elif m[3]:
             tag = m[3].lower()
-            if tag in ("body", "html"):
-                continue
-            up = now
-            while up.parent is not None and up.tag != tag:
-                # an end tag of an inline element doesn't reach out of its block
-                if tag not in BLOCKS and up.tag in BLOCKS:
-                    up = root
-                    break
-                up = up.parent
-            if up.parent is not None:
-                now = up.parent
+            # an end tag of an inline element doesn't reach out of its block
+            if tag not in ("body", "html") and path.at[tag] and (tag in BLOCKS or not path.blocks or path.at[tag][-1] > path.blocks[-1]):
+                path.close(path.at[tag][-1])
     _set_apart(root)
     return root
 
@@ -298,15 +308,17 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Elements that by name, class, id or role are menus, headers of the page, footers, sidebars, notices, adverts,
     forms or comments are taken out first, but for no class, id, role or form an article element or most of the
     page's text outside links; densities decide among the rest. Nothing is capped; a page is
-    handled by itself, so hot hosts don't matter and nothing is shuffled. Null and empty pages have an empty text.
+    handled by itself, so hot hosts don't matter and nothing is shuffled. Null and empty pages have an empty text,
+    repeated pages repeated rows, and an empty table gives an empty one; other columns are not read.
     """
+    tuned(pages.sparkSession)
     kept = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     schema = kept.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for lo in range(0, batch.num_rows, 100):
+                part = batch.slice(lo, 100)
                 texts = [main_text(h) for h in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
