@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from tessera.llm.common import components, stored
+from tessera.llm.common import Scratch, components, scratch, stored
 from tessera.llm.shingles import digest
 
 #: Filters that a vector exceeds on average, codes, members of a filter aimed at, and rows of a block.
@@ -22,10 +23,21 @@ def code_size(n: int) -> int:
     return max(8, int(np.ceil(np.sqrt(n * CAPS / AIM / TABLES))))
 
 
+def cap_height(d: int, share: float) -> float:
+    """The cosine that a random direction of d dimensions exceeds towards a fixed one with probability `share`, from the exact density (1 - t^2)^((d - 3) / 2)."""
+    if d < 2 or share >= 0.5:
+        return 0.0
+    angle = np.linspace(0, np.pi / 2, 200_001)
+    step = np.sin(angle) ** (d - 2)
+    inside = np.concatenate([[0.0], np.cumsum((step[1:] + step[:-1]) / 2)])
+    return float(np.cos(np.interp(share * 2 * inside[-1], inside, angle)))
+
+
 @lru_cache(maxsize=8)
 def codes(d: int, size: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
     """For each code its two halves in rotated coordinates and the score that a random direction exceeds CAPS / TABLES times."""
     out = []
+    least = cap_height(d, CAPS / TABLES / size**2)
     for table in range(TABLES):
         rng = np.random.Generator(np.random.PCG64([d, size, table]))
         turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
@@ -34,13 +46,18 @@ def codes(d: int, size: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
             words = rng.standard_normal((size, len(part)))
             words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-12) * np.sqrt(2)
             halves.append(words @ part)
-        probe = rng.standard_normal((200_000 // size + 64, d))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        picked = np.concatenate([(probe @ halves[0].T)[:, rng.permutation(size)] + (probe @ halves[1].T) for _ in range(8)], axis=None)
-        out.append((halves[0], halves[1], float(np.quantile(picked, 1 - min(0.5, CAPS / TABLES / size**2)))))
+        out.append((halves[0], halves[1], least))
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray | None:
+    """x in double precision at length 1; None if it is empty, zero or not finite throughout."""
+    x = x.astype(float)
+    if not len(x) or not np.isfinite(x).all() or not (big := np.abs(x).max()) > 0:
+        return None
+    return x / (np.linalg.norm(x / big) * big)
+
+
 def decoded(x: np.ndarray, size: int) -> list[np.ndarray]:
     """The sorted filters of each unit vector: all that it exceeds, and its best of each code."""
     found: list[list[np.ndarray]] = [[] for _ in x]
@@ -55,10 +72,12 @@ def decoded(x: np.ndarray, size: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(f)) for f in found]
 
 
-def _filters(classes: DataFrame, size: int) -> DataFrame:
+def _filters(classes: DataFrame, size: int, kind: str) -> DataFrame:
+    """rep, m, x and the filters, as numbers packed in `pack`."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.frombuffer(v.as_buffer()) for v in batch.column("x")]
+            raw = [unit(np.frombuffer(v.as_buffer(), kind)) for v in batch.column("x")]
             own = [np.zeros(0, np.int64)] * len(raw)
             for d in {len(v) for v in raw}:
                 at = [i for i, v in enumerate(raw) if len(v) == d]
@@ -66,25 +85,26 @@ def _filters(classes: DataFrame, size: int) -> DataFrame:
                 for lo in range(0, len(at), 1024):
                     for i, f in zip(at[lo : lo + 1024], decoded(x[lo : lo + 1024], size), strict=True):
                         own[i] = f
-            yield pa.record_batch([batch.column("rep"), batch.column("m"), batch.column("x"), pa.array(own, pa.list_(pa.int64()))], ["rep", "m", "x", "filters"])
+            narrow = np.int32 if TABLES * size**2 < 1 << 31 else np.int64
+            yield pa.record_batch([batch.column("rep"), batch.column("m"), batch.column("x"), pa.array(own, pa.list_(pa.int64())), pa.array([f.astype(narrow).tobytes() for f in own], pa.binary())], ["rep", "m", "x", "filters", "packed"])
 
-    return classes.select("rep", "m", "x").mapInArrow(made, "rep long, m long, x binary, filters array<long>")
+    return classes.select("rep", "m", "x").mapInArrow(made, "rep long, m long, x binary, filters array<long>, packed binary")
 
 
-def _tile_links(rows: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+def _tile_links(rows: pa.Table, least: float, kind: str, narrow: type) -> Iterator[pa.RecordBatch]:
     """Links among the rows of one tile: sums of linked vectors for each row, and an edge to the first row of its connected part."""
     dims = np.array([len(v.as_buffer()) for v in rows.column("x")])
     for d in np.unique(dims):
         own = rows.filter(pa.array(dims == d))
         if own.num_rows < 2:
             continue
-        x = np.stack([np.frombuffer(v.as_buffer()) for v in own.column("x")])
+        x = np.stack([unit(np.frombuffer(v.as_buffer(), kind)) for v in own.column("x")])
         rep, m, block = (own.column(c).to_numpy() for c in ("rep", "m", "block"))
         this, p, q = own.column("filter")[0].as_py(), own.column("p")[0].as_py(), own.column("q")[0].as_py()
-        lists = own.column("filters").combine_chunks()
-        width = np.diff(lists.offsets.to_numpy())
+        lists = [np.frombuffer(v.as_buffer(), narrow) for v in own.column("packed")]
+        width = np.array([len(f) for f in lists])
         filters = np.full((len(x), int(width.max())), -1, np.int64)
-        filters[np.arange(filters.shape[1]) < width[:, None]] = lists.flatten().to_numpy()
+        filters[np.arange(filters.shape[1]) < width[:, None]] = np.concatenate(lists)
         links, part = np.zeros(len(x), np.int64), np.arange(len(x))
         ii, jj = [], []
         for lo in range(0, len(x), 512):
@@ -117,32 +137,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 
     Two vectors link at cosine >= least in double precision. Null and zero vectors and those with null or
     non-finite components link with nothing; vectors of different lengths don't link. Equal vectors are one
-    class with a count. Each class is list-decoded to the filters it exceeds, so two vectors at cosine 0.95
-    miss each other in all of some 16 with a small probability (tests measure it). Members of a filter are
-    compared by blocks inside tasks, which return sums and one edge a row, never pairs: a filter with many
-    members is cut into blocks, and each pair of blocks is a task's group of bounded size. Rows repeating a
-    vec_id are one node; a row without a vec_id takes no part.
+    class with a count of its distinct ids. Each class is list-decoded to the filters it exceeds, so two vectors
+    at cosine 0.95 miss each other in all of some 16 with a small probability (tests measure it). Members of a
+    filter are compared by blocks inside tasks, which return sums and one edge a row, never pairs: a filter with
+    many members is cut into blocks, and each pair of blocks is a task's group of bounded size. Rows repeating a
+    vec_id are one node, and equal rows count once; a row without a vec_id takes no part. An empty table gives an
+    empty one. Single-precision vectors travel in single precision.
     """
+    with scratch(vectors.sparkSession) as own:
+        return _near(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("x")), least, own)
+
+
+def _near(vectors: DataFrame, least: float, tables: Scratch) -> DataFrame:
+    kind = "<f4" if vectors.schema["x"].dataType == ArrayType(FloatType(), vectors.schema["x"].dataType.containsNull) else "<f8"
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs = []
-            for v in batch.column(1):
-                x = np.array([np.nan if c is None else c for c in v.as_py()], float) if v.is_valid else np.zeros(0)
-                norm = np.linalg.norm(x / big) * big if len(x) and np.isfinite(x).all() and (big := np.abs(x).max()) > 0 else 0
-                xs.append((x / norm).tobytes() if norm else None)
-            yield pa.record_batch([batch.column(0), pa.array([x and digest(x) for x in xs], pa.binary()), pa.array(xs, pa.binary())], ["vec_id", "v", "x"])
-
-    rows = stored(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col)).mapInArrow(units, "vec_id long, v binary, x binary"))
-    classes = stored(rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("x").alias("x")))
-    with_filters = stored(_filters(classes, code_size(classes.count())))
-    each = with_filters.select("rep", "m", "x", "filters", F.explode("filters").alias("filter"))
+            xs = [np.array([np.nan if c is None else c for c in v.as_py()], kind) if v.is_valid else np.zeros(0, kind) for v in batch.column(1)]
+            of = [unit(x) for x in xs]
+            yield pa.record_batch([batch.column(0), pa.array([None if u is None else digest(u.tobytes()) for u in of], pa.binary()), pa.array([None if u is None else x.tobytes() for x, u in zip(xs, of, strict=True)], pa.binary())], ["vec_id", "v", "x"])
+
+    rows = tables.stored(vectors.mapInArrow(units, "vec_id long, v binary, x binary"))
+    once = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v", "vec_id").agg(F.first("x").alias("x"))
+    classes = tables.stored(once.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("x").alias("x")))
+    size = code_size(classes.count())
+    with_filters = tables.stored(_filters(classes, size, kind))
+    narrow = np.int32 if TABLES * size**2 < 1 << 31 else np.int64
+    each = with_filters.select("rep", "m", "x", "packed", F.explode("filters").alias("filter"))
     sizes = with_filters.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     tile = F.struct(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    tiled = each.join(stored(sizes), "filter").withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("tile", tile)
-    tiled = tiled.select("filter", F.col("tile.p").alias("p"), F.col("tile.q").alias("q"), "block", "rep", "m", "x", "filters")
+    tiled = each.join(tables.stored(sizes), "filter").withColumn("blocks", blocks).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("tile", tile)
+    tiled = tiled.select("filter", F.col("tile.p").alias("p"), F.col("tile.q").alias("q"), "block", "rep", "m", "x", "packed")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -153,18 +180,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
             starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])).tolist()
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if b - a > 1:
-                    yield from _tile_links(held.slice(a, b - a), least)
+                    yield from _tile_links(held.slice(a, b - a), least, kind, narrow)
             held = held.slice(starts[-1])
         if held is not None and held.num_rows > 1:
-            yield from _tile_links(held, least)
+            yield from _tile_links(held, least, kind, narrow)
 
-    found = stored(tiled.repartition("filter", "p", "q").sortWithinPartitions("filter", "p", "q").mapInArrow(linked, "a long, b long, links long"))
+    found = tables.stored(tiled.repartition("filter", "p", "q").sortWithinPartitions("filter", "p", "q").mapInArrow(linked, "a long, b long, links long"))
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     same = rows.join(classes.select("v", "rep"), "v").where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
     comps = components(found.select("a", "b").unionByName(same))
     per = classes.select("v", "rep", "m").join(links, F.col("rep") == F.col("a"), "left").select("v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     out = rows.select("vec_id", "v").join(per, "v", "left").join(comps, F.col("vec_id") == F.col("node"), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return stored(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")))
 
 
 def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
