@@ -81,17 +81,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: floa
 
     A document comes floor(rate) times plus one Bernoulli copy with probability equal to the fraction. Null text
     has size 0; a null source is a source, the last. Rows that repeat a doc_id fare alike. Nothing comes more
-    than ceil(cap) times.
+    than ceil(cap) times. An empty table gives an empty one; other columns are not read.
     """
     sizes = sizes_of(docs, id_col, text_col, source_col)
     return with_copies(sizes, source_plan(sizes, weights, cap, seeds))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """The rows of docs (doc_id, source, text and more), each as often as the mix takes it."""
-    plan = source_plan(sizes_of(docs), weights, cap)
-    taken = with_copies(docs, plan.withColumn("source_size", F.lit(0))).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs (doc_id, source, text and any more columns), each as often as the mix takes it."""
+    rows = docs.select("doc_id", "source", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    taken = with_copies(rows, source_plan(sizes_of(docs), weights, cap)).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
