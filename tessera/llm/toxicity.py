@@ -16,17 +16,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tuned
+
 #: Bytes of a window, windows compressed in one call, and what stands before each window and ends each dictionary:
 #: every window then has one match at least, and a further one costs its own bytes alone. A window and what it runs
 #: over stay below 64 bytes, from which on zstandard codes unmatched bytes by frequency and lengths jump.
 WINDOW, OVER, CALL, PRIMER = 40, 22, 20_000, b"\x01\x02\x03\x04\x05\x06\x07\x08" * 2
-#: Labelled documents of each class that a fit takes at most, the parts of a cross-fit, and features of a document.
-SAMPLE, PARTS, N_FEATURES = 1500, 3, 3 + 2 * 4
-#: Lengths of the word beginnings that can enter a dictionary, its bytes, and the evidence that one needs (G statistic).
-BEGINNINGS, OWN_BYTES, EVIDENCE = (4, 5, 6, 7, 8, 10, 12), 8192, 40.0
+#: Labelled documents of each class that a fit takes at most, characters of the longest one taken, the parts of a cross-fit, and features of a document.
+SAMPLE, LONGEST, PARTS, N_FEATURES = 1500, 200_000, 3, 3 + 2 * 4
+#: Bytes of a dictionary: the common text of both classes, and room for what tells the own class from the other.
+COMMON_BYTES, OWN_BYTES = 7168, 1024
+#: Lengths of the word beginnings that can tell a class; the evidence (G statistic) and the ratio of rates that one needs in ordinary and in toxic text.
+BEGINNINGS, EVIDENCE, RATIO = (4, 5, 6, 7, 8, 10, 12), (20.0, 40.0), (2, 8)
 #: Bytes saved from which a window counts; each is one feature.
 SAVED = (1, 2, 3, 5)
-RATIO = 8
+#: Characters of text that are scored at once.
+SLICE_CHARS = 1_000_000
 #: Matches of 6 bytes and more only: shorter ones are endings that any word may have.
 PARAMETERS = zstandard.ZstdCompressionParameters(
     window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=6, strategy=zstandard.STRATEGY_FAST, write_checksum=False, write_content_size=False, write_dict_id=False
@@ -109,24 +114,42 @@ def _distinct(text: str) -> set[str]:
     return {w[:n] for w in words for n in BEGINNINGS if len(w) >= n} | {w + " " for w in words if 3 <= len(w) <= 12}
 
 
-def train_dictionary(own: list[set[str]], other: list[set[str]]) -> bytes:
-    """A raw-content dictionary: word beginnings that mark the own class, the most telling last; all dictionaries have one size."""
-    a, b, n, m = Counter(s for t in own for s in t), Counter(s for t in other for s in t), len(own), len(other)
-    ranked = []
-    for s, k in a.items():
-        if k >= 3 and k * m > RATIO * b[s] * n and (g := _evidence(k, n, b[s], m)) >= EVIDENCE:
-            ranked.append((g, len(s), s))
-    taken: list[str] = []
-    size = 0
-    for _, _, s in sorted(ranked, reverse=True):
-        piece = f" {s}"
-        if any(piece in t for t in taken):
-            continue
-        size += len(piece.encode())
-        if size > OWN_BYTES:
-            break
-        taken.append(piece)
-    return "".join(reversed(taken)).encode().rjust(OWN_BYTES, b"\0") + PRIMER
+def train_dictionaries(ordinary: list[set[str]], toxic: list[set[str]]) -> tuple[bytes, bytes]:
+    """The raw-content dictionaries of ordinary and of toxic text, of one size, from the word beginnings of each text.
+
+    Each holds the text that both classes have in common, whole words by the share of documents that have them,
+    at the same place in both, so that such text has one length under either. Then come the beginnings that tell
+    the own class from the other, the most telling last; zeros fill their room.
+    """
+    counts, sizes = [Counter(s for t in texts for s in t) for texts in (ordinary, toxic)], (len(ordinary), len(toxic))
+
+    def telling(c: int) -> str:
+        a, b, n, m = counts[c], counts[1 - c], sizes[c], sizes[1 - c]
+        ranked = [(g, len(s), s) for s, k in a.items() if k >= 3 and k * m > RATIO[c] * b[s] * n and (g := _evidence(k, n, b[s], m)) >= EVIDENCE[c]]
+        taken: list[str] = []
+        size = 0
+        for _, _, s in sorted(ranked, reverse=True):
+            piece = f" {s}"
+            if any(piece in t for t in taken):
+                continue
+            size += len(piece.encode())
+            if size > OWN_BYTES:
+                break
+            taken.append(piece)
+        return "".join(reversed(taken))
+
+    own = [telling(0), telling(1)]
+    share = {s: counts[0][s] / sizes[0] + counts[1][s] / sizes[1] for s in {*counts[0], *counts[1]} if s.endswith(" ")}
+    common, size = [], 0
+    for s in sorted(share, key=lambda s: (-share[s], s)):
+        if f" {s}" not in own[0] and f" {s}" not in own[1]:
+            common.append(f" {s}")
+            size += len(common[-1].encode())
+            if size > COMMON_BYTES:
+                break
+    text = "".join(reversed(common)).encode()[-COMMON_BYTES:].rjust(COMMON_BYTES, b"\0")
+    one, other = (text + o.encode().rjust(OWN_BYTES, b"\0") + PRIMER for o in own)
+    return one, other
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -183,8 +206,7 @@ def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Toxic
     tell = [_distinct(texts[i]) for i in range(len(texts))]
 
     def trained(of: list[list[int]]) -> ToxicityModel:
-        own = [[tell[i] for i in ids] for ids in of]
-        return ToxicityModel(train_dictionary(own[0], own[1]), train_dictionary(own[1], own[0]), ())
+        return ToxicityModel(*train_dictionaries(*([tell[i] for i in ids] for ids in of)), ())
 
     # each part is scored by dictionaries of the others, so the weights see texts that no dictionary has learned
     parts = min(PARTS, min(map(len, of)))
@@ -207,44 +229,52 @@ def scores(texts: list[str], model: ToxicityModel) -> np.ndarray:
 
 
 def in_fold(doc_id: Column, folds: int = 5) -> Column:
-    """Whether crc32 of doc_id as text leaves no remainder; such rows are held out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds == 0
+    """Whether crc32 of doc_id as text (null: empty text) leaves no remainder; such rows are held out."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> ToxicityModel:
     """A model from at most `sample` labelled documents of each class, chosen by a hash of doc_id, without the held-out fold.
 
     A doc_id with several labels counts as toxic if one says so; several rows of a doc_id count once. Only the
-    sample comes to the driver, and only its ids are broadcast: at most 2 * sample rows.
+    sample comes to the driver, without texts of over `longest` characters, and only its ids are broadcast: at
+    most 2 * sample rows. Empty tables, and labels of one class alone, give a model that knows only a rate.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~in_fold(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     by_class = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).where("toxic IN (0, 1)").collect()}
     picks = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= longest).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in found.toArrow().to_pylist())
     total = sum(by_class.values())
     return fit([r[2] for r in rows], [r[1] for r in rows], by_class.get(1, 0) / total if total else 0.0)
 
 
-def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with `score`, 0 to 1; one row for each row of docs, and only the text enters the score.
+def toxicity(docs: DataFrame, model: ToxicityModel, to: str = "score") -> DataFrame:
+    """docs with the column `to`, 0 to 1; one row for each row of docs, and only the text enters the score.
 
     Whole texts are cut into windows, each window is compressed with both dictionaries, and the windows that
     the toxic one shortens decide by calibrated weights. Null text counts as empty, and an empty text has the
-    score of a document without such windows. A column named score is replaced.
+    score of a document without such windows. A column of docs that is named as `to` is replaced; an empty table
+    gives an empty one.
     """
-    keep = [c for c in docs.columns if c != "score"]
+    tuned(docs.sparkSession)
+    keep = [c for c in docs.columns if c != to]
     at = keep.index("text")
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*[f"`{c}`" for c in keep]).schema.add(to, "double")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
-                found = scores([t or "" for t in part.column(at).to_pylist()], model)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*keep, "score"])
-
-    return docs.select(*keep).mapInArrow(scored, schema)
+            found, held, size = [], [], 0
+            for text in batch.column(at):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size > SLICE_CHARS:
+                    found.append(scores(held, model))
+                    held, size = [], 0
+            found.append(scores(held, model))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=[*keep, to])
+
+    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(scored, schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
