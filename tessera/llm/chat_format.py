@@ -91,13 +91,16 @@ def chat_format(conversations: DataFrame) -> DataFrame:
     """conv_id, formatted, mask, n_messages of linear conversations (conv_id, turn, role, text).
 
     Each row replies to the row before it in its conversation, by turn (null first), then role and text, so
-    repeated turns stay in a fixed order. Rows without a conv_id are one conversation.
+    repeated turns stay in a fixed order. A row without a conv_id is a conversation by itself, as nothing says
+    that it belongs to another (equal ones are one), so that such rows make no group without bound. An empty table
+    gives an empty one; other columns are not read.
     """
-    rows = conversations.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("tree"), "turn", "role", "text")
+    alone = F.concat(F.lit("none"), F.xxhash64("turn", "role", "text").cast("string"))
+    rows = conversations.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), alone).alias("tree"), "turn", "role", "text")
     rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long"))
     messages = rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), F.lit(0.0).alias("score"))
     turns = best_paths(messages).join(rows, ["tree", "id"])
-    return format_paths(turns).select(F.when(F.col("tree") != "none", F.col("tree").cast("long")).alias("conv_id"), "formatted", "mask")
+    return format_paths(turns).select(F.when(~F.col("tree").startswith("none"), F.col("tree")).cast("long").alias("conv_id"), "formatted", "mask")
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
                 own = np.sort(h[a : b - k + 1])
                 yield own[np.concatenate([[True], own[1:] != own[:-1]])]
             elif b > a:
-                yield mixed(np.array([(words[a:b] * _PLACE[: b - a]).sum() + _PLACE[40 + b - a]], np.uint64))
+                yield mixed((words[a:b] * _PLACE[: b - a]).sum(keepdims=True) + _PLACE[40 + b - a : 41 + b - a])
             else:
                 yield np.zeros(0, np.uint64)
 

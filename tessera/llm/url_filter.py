@@ -29,7 +29,8 @@ def temporal_url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "
     <= fetched_at < valid_to. Of the active entries the longest key decides (block or allow); without any the
     capture passes. Both sides also carry the month, so that a host with a third of all captures, or with a long
     history, falls into many join keys and each capture meets only the intervals of its month; what still is
-    skewed adaptive execution splits. A null URL, a URL without a host, and a null time match nothing.
+    skewed adaptive execution splits. A null URL, a URL without a host, and a null time match nothing. Repeated
+    captures give repeated rows, an empty table an empty one, an empty list blocks nothing; other columns are not read.
     """
     caps = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).alias("at")).withColumn("host", host_of(F.col("url")))
     month = lambda c: F.year(c) * 12 + F.month(c)
