@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.names import free_name
 from tessera.llm.bpe import bpe_decode, bpe_encode
 from tessera.llm.common import stored
 from tessera.llm.line_dedup import line_dedup
@@ -15,13 +16,16 @@ from tessera.llm.toxicity import toxicity, train_toxicity
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity(docs, model).where("score < 0.5").select(*docs.columns)
+    own = free_name("toxicity", docs.columns)
+    return toxicity(docs, model, own).where(F.col(own) < 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = line_dedup(docs, keep=keep)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """The other columns travel packed, so that none can clash with the operator's own; n_chars follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = line_dedup(docs.select("doc_id", "text", F.struct(F.lit(0), *[f"`{c}`" for c in others]).alias("rest")), keep=["rest"])
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return kept.select(*[(new[c] if c in new else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
