@@ -32,9 +32,9 @@ BEGINNINGS, EVIDENCE, RATIO = (4, 5, 6, 7, 8, 10, 12), (20.0, 40.0), (2, 8)
 SAVED = (1, 2, 3, 5)
 #: Characters of text that are scored at once.
 SLICE_CHARS = 1_000_000
-#: Matches of 6 bytes and more only: shorter ones are endings that any word may have.
+#: Matches of 6 bytes and more only: shorter ones are endings that any word may have. The fast strategy would not find all matches with a dictionary.
 PARAMETERS = zstandard.ZstdCompressionParameters(
-    window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=6, strategy=zstandard.STRATEGY_FAST, write_checksum=False, write_content_size=False, write_dict_id=False
+    window_log=15, hash_log=15, chain_log=15, search_log=4, min_match=6, strategy=zstandard.STRATEGY_LAZY, write_checksum=False, write_content_size=False, write_dict_id=False
 )
 
 
