@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, SPACES, UPPER, ascii_lower, stored
+from tessera.llm.common import LOWER, SPACES, UPPER, ascii_lower, scratch, stored
 
 
 def line_key(line: Column) -> Column:
@@ -22,9 +22,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest doc_id holding them. Null or empty text is one empty line. Rows that repeat a doc_id count as one
     document; rows without a doc_id never count and never keep a shared line. An empty table gives an empty one.
     Columns to keep that are named as one of the results must be packed (a struct) or renamed first. Only (hash,
-    id, position) rows are exploded and shuffled. The shared lines are counted by partial aggregates and written,
-    so that their join has an exchange on both sides: a line that a third of the documents hold is a skewed join
-    key, which adaptive execution splits, and few shared lines are broadcast by their measured size.
+    id, position) rows are exploded, once, written and shuffled. The shared lines are counted by partial aggregates
+    and written, so that their join has an exchange on both sides: a line that a third of the documents hold is a
+    skewed join key, which adaptive execution splits, and few shared lines are broadcast by their measured size.
+    What each document drops is written too, and only that stays in the shared folder.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0), *keep).alias("rest")).withColumn("row", F.xxhash64("text"))
     key = F.col("key")
@@ -34,8 +35,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length(key) >= min_chars)
         .select("doc_id", "row", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
     )
-    shared = stored(lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"))
-    drops = lines.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
+    with scratch(docs.sparkSession) as own:
+        lines = own.stored(lines)
+        shared = own.stored(lines.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"))
+        drops = stored(lines.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops")))
     whole = rows.select("doc_id", "row", "rest", F.split("text", "\n", -1).alias("lines")).alias("w")
     d = drops.alias("d")
     out = whole.join(d, F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.row") == F.col("d.row")), "left")
