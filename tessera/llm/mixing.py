@@ -39,9 +39,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def drawn(seed: Column, doc_id: Column, fraction: Column) -> Column:
-    """The Bernoulli copy: 1 where the upper 53 bits of a hash of (seed, doc_id), a number in [0, 1), are below the fraction."""
-    return (F.shiftrightunsigned(F.xxhash64(seed, F.coalesce(doc_id, F.lit(-1))), 11) / F.lit(float(1 << 53)) < fraction).cast("long")
+def drawn(seed: str | int, doc_id: str, fraction: str | float) -> str:
+    """The Bernoulli copy, in SQL: 1 where the upper 53 bits of a hash of (seed, doc_id), a number in [0, 1), are below the fraction."""
+    return f"CAST(shiftrightunsigned(xxhash64({seed}, coalesce({doc_id}, -1)), 11) / {float(1 << 53):.1f}D < {fraction} AS BIGINT)"
 
 
 def source_plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0, seeds: int = 64) -> DataFrame:
@@ -56,9 +56,10 @@ def source_plan(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: flo
     targets = targets.withColumn("base", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
     s, t = sizes.alias("s"), targets.alias("t")
     rows = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.doc_id", "s.source", "s.size", "source_size", "target", "base", "fraction")
-    gain = [F.sum(drawn(F.lit(i), F.col("doc_id"), F.col("fraction")) * F.col("size")).alias(f"g{i}") for i in range(seeds)]
-    off = [F.struct(F.abs(F.col("base") * F.col("source_size") + F.col(f"g{i}") - F.col("target")).alias("off"), F.lit(i).alias("seed")) for i in range(seeds)]
-    return stored(rows.groupBy("source", "source_size", "target", "base", "fraction").agg(*gain).withColumn("seed", F.array_min(F.array(*off))["seed"]).select("source", "source_size", "target", "base", "fraction", "seed"))
+    gain = [F.expr(f"sum({drawn(i, 'doc_id', 'fraction')} * size) AS g{i}") for i in range(seeds)]
+    off = ", ".join(f"named_struct('off', abs(base * source_size + g{i} - target), 'seed', {i})" for i in range(seeds))
+    best = rows.groupBy("source", "source_size", "target", "base", "fraction").agg(*gain)
+    return stored(best.select("source", "source_size", "target", "base", "fraction", F.expr(f"array_min(array({off})).seed AS seed")))
 
 
 def sizes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -72,7 +73,7 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     shuffles, and a hot source is a skewed key that adaptive execution splits.
     """
     r, p = rows.alias("r"), plan.alias("p")
-    copies = F.col("p.base") + drawn(F.col("p.seed"), F.col("r.doc_id"), F.col("p.fraction"))
+    copies = F.col("p.base") + F.expr(drawn("p.seed", "r.doc_id", "p.fraction"))
     return r.join(p, F.col("r.source").eqNullSafe(F.col("p.source"))).select(*[F.col(f"r.`{c}`") for c in rows.columns], F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), copies.alias("copies"))
 
 
