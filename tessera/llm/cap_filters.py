@@ -72,16 +72,23 @@ def decoded(x: np.ndarray, size: int) -> list[np.ndarray]:
     return [np.unique(np.concatenate(f)) for f in found]
 
 
+def stacked(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one number of dimensions, none of them zero or not finite, at length 1 in double precision."""
+    x = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
+    big = np.abs(x).max(1, keepdims=True)
+    return x / (np.linalg.norm(x / big, axis=1, keepdims=True) * big)
+
+
 def _filters(classes: DataFrame, size: int, kind: str) -> DataFrame:
     """rep, m, x and the filters, as numbers packed in `pack`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [unit(np.frombuffer(v.as_buffer(), kind)) for v in batch.column("x")]
+            raw = batch.column("x").to_pylist()
             own = [np.zeros(0, np.int64)] * len(raw)
             for d in {len(v) for v in raw}:
                 at = [i for i, v in enumerate(raw) if len(v) == d]
-                x = np.stack([raw[i] for i in at])
+                x = stacked([raw[i] for i in at], kind)
                 for lo in range(0, len(at), 1024):
                     for i, f in zip(at[lo : lo + 1024], decoded(x[lo : lo + 1024], size), strict=True):
                         own[i] = f
@@ -93,18 +100,18 @@ def _filters(classes: DataFrame, size: int, kind: str) -> DataFrame:
 
 def _tile_links(rows: pa.Table, least: float, kind: str, narrow: type) -> Iterator[pa.RecordBatch]:
     """Links among the rows of one tile: sums of linked vectors for each row, and an edge to the first row of its connected part."""
-    dims = np.array([len(v.as_buffer()) for v in rows.column("x")])
+    dims = np.array([len(v) for v in rows.column("x").to_pylist()])
     for d in np.unique(dims):
         own = rows.filter(pa.array(dims == d))
         if own.num_rows < 2:
             continue
-        x = np.stack([unit(np.frombuffer(v.as_buffer(), kind)) for v in own.column("x")])
+        x = stacked(own.column("x").to_pylist(), kind)
         rep, m, block = (own.column(c).to_numpy() for c in ("rep", "m", "block"))
         this, p, q = own.column("filter")[0].as_py(), own.column("p")[0].as_py(), own.column("q")[0].as_py()
-        lists = [np.frombuffer(v.as_buffer(), narrow) for v in own.column("packed")]
-        width = np.array([len(f) for f in lists])
-        filters = np.full((len(x), int(width.max())), -1, np.int64)
-        filters[np.arange(filters.shape[1]) < width[:, None]] = np.concatenate(lists)
+        packed = own.column("packed").to_pylist()
+        width = np.array([len(f) for f in packed]) // np.dtype(narrow).itemsize
+        filters = np.full((len(x), int(width.max())), -1, narrow)
+        filters[np.arange(filters.shape[1]) < width[:, None]] = np.frombuffer(b"".join(packed), narrow)
         links, part = np.zeros(len(x), np.int64), np.arange(len(x))
         ii, jj = [], []
         for lo in range(0, len(x), 512):
