@@ -45,8 +45,8 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (A-Z lower-cased) of each text, and the number of words before each text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased, unless fold is false) of each text, and the number of words before each text."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     at = np.flatnonzero(~_SPACE[data])
@@ -61,7 +61,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sizes = np.diff(np.append(starts, len(at)))
     place = np.arange(len(at)) - np.repeat(starts, sizes)
     powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()) - 1, _BASE, np.uint64)]))
-    h = np.add.reduceat(_BYTE[_LOW[data[at]]] * powers[place], starts)
+    h = np.add.reduceat(_BYTE[_LOW[data[at]] if fold else data[at]] * powers[place], starts)
     return mixed(h + sizes.astype(np.uint64) * _PLACE[63]), np.searchsorted(at[starts], offsets)
 
 
