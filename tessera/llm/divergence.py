@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,42 +11,61 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import scratch, stored, tuned
-
-TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Counts that a task holds before it sorts and emits them, and pairs of sources whose sums it holds.
-HELD = 400_000
-
-
-def _sorted_runs(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> pa.RecordBatch:
-    """The counts held so far as rows in the order (lang, term, source)."""
-    rows = sorted((lang, term, source, docs[term], n) for (lang, source), (docs, counts) in held.items() for term, n in counts.items())
-    lang, term, source, docs, n = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.record_batch([pa.array(lang, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(source, pa.string()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())], ["lang", "term", "source", "docs", "n"])
+from tessera.llm.shingles import text_slices
+
+#: Bytes of text as terms are split: letters lower-cased, what stands between terms a space, others as they are.
+_SPLIT = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
+#: Bytes of text that are counted at once, counts that a task holds before it emits them, and pairs of sources whose sums it holds.
+SLICE_BYTES, HELD = 8_000_000, 1_000_000
+_COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
+
+
+def _counted(lang: pa.Array, source: pa.Array, data: np.ndarray, offsets: np.ndarray) -> pa.Table:
+    """The counts of a slice of texts by (lang, term, source): how many of them have the term, and how often. The empty term counts the texts."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(_SPLIT[data]))
+    lists = pc.ascii_split_whitespace(texts)
+    terms = lists.flatten()
+    full = pc.greater(pc.binary_length(terms), 0)
+    doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[full.to_numpy(zero_copy_only=False)]
+    coded = terms.filter(full).dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    langs, sources = lang.dictionary_encode(), source.dictionary_encode()
+    group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
+    once, n = np.unique(doc * size + coded.indices.to_numpy(), return_counts=True)
+    own = group[once // size] * size + once % size
+    order = np.argsort(own, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(own) else np.zeros(0, np.int64)
+    groups, texts_of = np.unique(group, return_counts=True)
+    key = own[order][first]
+    of, zero = np.concatenate([groups, key // size]), np.zeros(len(groups), np.int64)
+    term = pa.concat_arrays([pa.array([""] * len(groups), pa.string()), coded.dictionary.take(pa.array(key % size)).cast(pa.string())])
+    docs = np.concatenate([texts_of, np.diff(np.append(first, len(own)))])
+    counts = np.concatenate([zero, np.add.reduceat(n[order], first)]) if len(first) else zero
+    return pa.Table.from_arrays([langs.dictionary.take(pa.array(of // len(sources.dictionary))), term, sources.dictionary.take(pa.array(of % len(sources.dictionary))), pa.array(docs), pa.array(counts)], schema=_COUNTS)
 
 
 def _partial_counts(docs: DataFrame) -> DataFrame:
-    """lang, term, source, docs, n: what runs of documents of a task hold, so that a term of every document leaves it once a run. The empty term counts the documents."""
+    """lang, term, source, docs, n of the texts of a task, in a few parts, so that a term of every document leaves a task a few times and not once a document."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = defaultdict(lambda: (Counter(), Counter()))
-        size = 0
+        held: list[pa.Table] = []
         for batch in batches:
-            for lang, source, text in zip(*batch.columns, strict=True):
-                docs, counts = held[lang.as_py(), source.as_py()]
-                own = Counter(TERM.findall(text.as_py().encode().translate(_LOWER)))
-                own[b""] = 1
-                before = len(counts)
-                counts.update(own)
-                docs.update(own.keys())
-                size += len(counts) - before
-                if size > HELD:
-                    yield _sorted_runs(held)
-                    held.clear()
-                    size = 0
-        yield _sorted_runs(held)
-
-    return docs.mapInArrow(made, "lang string, term string, source string, docs long, n long")
+            for first, data, offsets in text_slices(batch.column(2), SLICE_BYTES):
+                n = len(offsets) - 1
+                held.append(_counted(batch.column(0).slice(first, n), batch.column(1).slice(first, n), data, offsets))
+                if sum(t.num_rows for t in held) > HELD:
+                    yield from together(held)
+                    held = []
+        if held:
+            yield from together(held)
+
+    def together(held: list[pa.Table]) -> list[pa.RecordBatch]:
+        if len(held) == 1:
+            return held[0].to_batches()
+        found = pa.concat_tables(held).group_by(["lang", "term", "source"]).aggregate([("docs", "sum"), ("n", "sum")])
+        return pa.Table.from_arrays(found.columns, schema=_COUNTS).to_batches()
+
+    return docs.select("lang", "source", "text").mapInArrow(made, "lang string, term string, source string, docs long, n long")
 
 
 def _starts(columns: list[pa.Array]) -> np.ndarray:
@@ -120,50 +137,56 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def _pair_sums(rows: DataFrame) -> DataFrame:
-    """lang, a, b, value: for sources a < b, what their common terms add to the sums that each has against the other's share of an absent term.
+    """a, b, value: for groups a < b of a lang, what their common terms add to the sums that each has against the other's share of an absent term.
 
-    rows: lang, term, source, p, none (the source's share of an absent term), sorted by (lang, term). The sources of a
-    term are its run; a task sums by pair while it scans, so it emits a row for each pair and not for each term.
+    rows: lang, term, g (the number of a group), p, none (the group's share of an absent term). The groups of a term are
+    its run in the order (lang, term, g); a task sums by pair while it scans, so it emits a row for each pair and not
+    for each term.
     """
 
     def f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         return (p - q) ** 2 // (p + q)
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, str, str], int] = defaultdict(int)
-        held: list[pa.RecordBatch] = []
-
-        def emitted() -> pa.RecordBatch:
-            lang, a, b = zip(*sums, strict=True) if sums else ((),) * 3
-            out = pa.record_batch([*(pa.array(x, pa.string()) for x in (lang, a, b)), pa.array(list(sums.values()), pa.int64())], ["lang", "a", "b", "value"])
-            sums.clear()
-            return out
-
-        def scanned(rows: pa.RecordBatch, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-            source, p, none = rows.column(2).to_pylist(), rows.column(3).to_numpy(), rows.column(4).to_numpy()
-            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), rows.num_rows], strict=True):
-                lang = rows.column(0)[lo].as_py()
-                for i in range(lo, hi - 1):
-                    rest = slice(i + 1, hi)
-                    more = f(p[i], p[rest]) - f(p[i], none[rest]) - f(none[i], p[rest]) + f(none[i], none[rest])
-                    for j, v in zip(range(i + 1, hi), more.tolist(), strict=True):
-                        sums[lang, source[i], source[j]] += v
-                    if len(sums) > HELD:
-                        yield emitted()
+    def scanned(rows: pa.RecordBatch) -> pa.Table:
+        """Whole runs: each row with the one `step` rows on, for all steps, where both are of one run."""
+        run = np.cumsum(_starts(rows.columns[:2]))
+        g, p, none = (rows.column(i).to_numpy() for i in (2, 3, 4))
+        groups, code = np.unique(g, return_inverse=True)
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, int(np.bincount(run).max())):
+            i = np.flatnonzero(run[step:] == run[:-step])
+            j = i + step
+            keys.append(code[i] * len(groups) + code[j])
+            values.append(f(p[i], p[j]) - f(p[i], none[j]) - f(none[i], p[j]) + f(none[i], none[j]))
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, at, np.concatenate(values))
+        return pa.table({"a": groups[key // len(groups)], "b": groups[key % len(groups)], "value": total})
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_run: list[pa.RecordBatch] = []
+        sums: list[pa.Table] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            first = np.flatnonzero(_starts(whole.columns[:2]))
-            yield from scanned(whole.slice(0, int(first[-1])), first[:-1])
-            held = [whole.slice(int(first[-1]))]
-        for rest in held:
-            yield from scanned(rest, np.zeros(1, np.int64))
-        yield emitted()
-
-    dealt = rows.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return dealt.mapInArrow(made, "lang string, a string, b string, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+            whole = pa.Table.from_batches([*open_run, batch]).combine_chunks().to_batches()[0]
+            last = int(np.flatnonzero(_starts(whole.columns[:2]))[-1])
+            if last:
+                sums.append(scanned(whole.slice(0, last)))
+            open_run = [whole.slice(last)]
+            if sum(t.num_rows for t in sums) > HELD:
+                yield from together(sums)
+                sums = []
+        yield from together(sums + [scanned(r) for r in open_run])
+
+    def together(sums: list[pa.Table]) -> list[pa.RecordBatch]:
+        if not sums:
+            return []
+        found = pa.concat_tables(sums).group_by(["a", "b"]).aggregate([("value", "sum")])
+        return pa.Table.from_arrays(found.columns, names=["a", "b", "value"]).to_batches()
+
+    dealt = rows.repartition("lang", "term").sortWithinPartitions("lang", "term", "g")
+    return dealt.mapInArrow(made, "a long, b long, value long").groupBy("a", "b").agg(F.sum("value").alias("value"))
 
 
 def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -191,26 +214,26 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, lang
         whole = kept.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("lang_size"))
         groups = counts.where("term = ''").select("lang", "source").distinct().join(terms, ["lang", "source"], "left").join(whole, "lang", "left")
         groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "has", "v", "lang_size")])
-        groups = own.stored(groups.withColumn("none", share(F.lit(0), F.col("size"), F.col("v"))))
-        rows = own.stored(kept.join(groups, ["lang", "source"]).select("lang", "term", "source", share("n", F.col("size"), F.col("v")).alias("p"), "none", share("lang_n", F.col("lang_size"), F.col("v")).alias("q")))
+        groups = own.stored(groups.withColumn("none", share(F.lit(0), F.col("size"), F.col("v"))).withColumn("g", F.monotonically_increasing_id()))
+        rows = own.stored(kept.join(groups, ["lang", "source"]).select("lang", "term", "source", "g", share("n", F.col("size"), F.col("v")).alias("p"), "none", share("lang_n", F.col("lang_size"), F.col("v")).alias("q")))
 
         order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         best = rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
         best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
-        common = _pair_sums(rows.select("lang", "term", "source", "p", "none"))
-        g, o = groups.alias("g"), groups.alias("o")
-        pairs = g.join(o, (F.col("g.lang") == F.col("o.lang")) & (F.col("g.source") != F.col("o.source")))
-        levels = rows.groupBy("lang", "source", "p").agg(F.count("*").alias("k")).alias("l")
-        # the terms of a source against the share that an absent term has in another
-        single = levels.join(o, (F.col("l.lang") == F.col("o.lang")) & (F.col("l.source") != F.col("o.source")))
-        single = single.groupBy("l.lang", F.col("l.source").alias("a"), F.col("o.source").alias("b")).agg(F.sum(F.col("k") * divergence(F.col("p"), F.col("o.none"))).alias("value"))
-        both = common.unionByName(common.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-        turned = single.unionByName(single.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
-        empty = (F.col("g.v") - F.col("g.has") - F.col("o.has")) * divergence(F.col("g.none"), F.col("o.none"))
-        absent = pairs.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("a"), F.col("o.source").alias("b"), F.coalesce(empty, F.lit(0)).alias("value"))
-        total = absent.unionByName(both).unionByName(turned).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-        pair = total.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value").withColumn("rank", F.row_number().over(order))
+        common = _pair_sums(rows.select("lang", "term", "g", "p", "none"))
+        x, y = groups.alias("x"), groups.alias("y")
+        other = (F.col("x.lang") == F.col("y.lang")) & (F.col("x.g") != F.col("y.g"))
+        empty = (F.col("x.v") - F.col("x.has") - F.col("y.has")) * divergence(F.col("x.none"), F.col("y.none"))
+        absent = x.join(y, other).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), F.coalesce(empty, F.lit(0)).alias("value"))
+        # the terms of a group against the share that an absent term has in another: by count, as equal counts have equal shares
+        levels = rows.groupBy("lang", "g", "p").agg(F.count("*").alias("k")).alias("x")
+        single = levels.join(y, other).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"), (F.col("k") * divergence(F.col("p"), F.col("y.none"))).alias("value"))
+        single = single.groupBy("a", "b").agg(F.sum("value").alias("value"))
+        turned = common.unionByName(single).select(F.col("b").alias("a"), F.col("a").alias("b"), "value")
+        total = absent.unionByName(common).unionByName(single).unionByName(turned).groupBy("a", "b").agg(F.sum("value").alias("value"))
+        total = total.join(groups.select(F.col("g").alias("a"), "lang", "source"), "a").join(groups.select(F.col("g").alias("b"), F.col("source").alias("item")), "b")
+        pair = total.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(order))
         return stored(pair.unionByName(best))
 
 
