@@ -12,6 +12,7 @@ from tessera.functions.vectorised import Words, exponential_average, nearest_mat
 from tessera.functions.vectors import cosine
 from tessera.operators.grouping import sessions, top_k
 from tessera.operators.joins import asof_join, range_join, salted_join
+from tessera.plans import scale
 from tessera.plans.sql import PAIRS, SAME
 from tessera.sources.tables import TABLES, register, round_trip, table
 from tessera.ship import shipped
@@ -110,6 +111,7 @@ QUERIES |= {
     "stream_daily": streams.daily_counts, "stream_closed_days": streams.closed_days, "stream_dedup": streams.first_of_each, "stream_sliding": streams.sliding_counts, "stream_sessions": streams.closed_sessions,
     "stream_late": streams.late_days, "stream_join": streams.clicks_and_purchases, "stream_static_join": streams.named_events, "stream_state": streams.running_totals,
 }
+QUERIES |= scale.QUERIES
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLES: dict[str, str] = SAME | {name: pair[1] for name, pair in PAIRS.items()}
 ORACLES |= {
@@ -137,3 +139,4 @@ ORACLES |= {
     "stream_static_join": "SELECT n_name, count(*) AS n FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey GROUP BY n_name",
     "stream_state": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id",
 }
+ORACLES |= scale.ORACLES

@@ -53,7 +53,6 @@ SAME: dict[str, str] = {
     "set_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
     "set_except": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_nationkey < 12",
     "set_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
-    "recursive_cte": "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t",
     "strings": "SELECT p_partkey, upper(p_name) AS u, substring(p_name, 2, 4) AS s, replace(p_brand, 'Brand', 'B') AS b, trim(p_type) AS t, reverse(p_name) AS r, lpad(p_brand, 12, '*') AS lp, left(p_type, 3) AS l3, translate(p_name, 'aeiou', '12345') AS tr, md5(lower(p_name)) AS h FROM part",
     "dates": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(quarter(o_orderdate) AS INT) AS q, CAST(dayofyear(o_orderdate) AS INT) AS d, CAST(last_day(o_orderdate) AS DATE) AS e FROM orders",
     "rounding": "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(l_extendedprice) AS BIGINT) AS c, CAST(sign(l_discount - 0.05) AS INT) AS s, CAST(floor(sqrt(l_quantity)) AS BIGINT) AS q, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS l, coalesce(nullif(l_linenumber, 1), 0) AS n FROM lineitem",
@@ -87,6 +86,10 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",
         "SELECT o_custkey AS c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) o WHERE r <= 2",
     ),
+    "recursive_cte": (
+        "WITH RECURSIVE t(k, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey > 0 AND (p_partkey - 1) div 7 = k) SELECT depth, count(*) AS n, min(k) AS first_key FROM t GROUP BY depth",
+        "WITH RECURSIVE t(k, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey > 0 AND (p_partkey - 1) // 7 = k) SELECT depth, count(*) AS n, min(k) AS first_key FROM t GROUP BY depth",
+    ),
     "json": (
         "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events",
         "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",

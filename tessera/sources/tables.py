@@ -36,3 +36,10 @@ def round_trip(df: DataFrame, kind: str, partition_by: tuple[str, ...] = (), **o
     path = scratch(df.sparkSession)
     df.write.format(kind).options(**options).partitionBy(*partition_by).save(path)
     return df.sparkSession.read.format(kind).schema(df.schema).options(**options).load(path).select(*df.columns)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: written once, so that every later read sees the same rows in the same files."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

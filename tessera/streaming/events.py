@@ -30,11 +30,13 @@ def written(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _run(stream: DataFrame, path: str, checkpoint: str) -> None:
-    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def _run(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> None:
+    """once: one batch and no more; streams with state in processing time would have empty batches without end."""
+    trigger = {"once": True} if once else {"availableNow": True}
+    stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start().awaitTermination()
 
 
-def delivered(deliveries: list[DataFrame], plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def delivered(deliveries: list[DataFrame], plan: Callable[[DataFrame], DataFrame], once: bool = False) -> DataFrame:
     """What a stream makes of several deliveries of files, each a run of its own that goes on from the checkpoint of the one before."""
     spark = deliveries[0].sparkSession
     source, path, checkpoint = (scratch(spark) for _ in range(3))
@@ -42,7 +44,7 @@ def delivered(deliveries: list[DataFrame], plan: Callable[[DataFrame], DataFrame
     for rows in deliveries:
         rows.write.mode("append").parquet(source)
         stream = plan(spark.readStream.schema(rows.schema).parquet(source))
-        _run(stream, path, checkpoint)
+        _run(stream, path, checkpoint, once)
     return spark.read.schema(stream.schema).parquet(path)
 
 
