@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vectorised import Words, exponential_average, nearest_match, skeleton
+from tessera.functions.vectorised import exponential_average, nearest_match, skeleton
 from tessera.functions.vectors import cosine
 from tessera.operators.grouping import sessions, top_k
 from tessera.operators.joins import asof_join, range_join, salted_join
-from tessera.plans import scale
+from tessera.plans import mechanisms, scale
 from tessera.plans.sql import PAIRS, SAME
 from tessera.sources.tables import TABLES, register, round_trip, table
 from tessera.ship import shipped
@@ -78,7 +78,7 @@ def calendar_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(shipped(spark), sf_dir, "part").select("p_partkey", skeleton("p_name").alias("sound"))
+    return table(spark, sf_dir, "part").select("p_partkey", skeleton(F.col("p_name")).alias("sound"))
 
 
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,15 +87,13 @@ def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(shipped(spark), sf_dir, "events")
+    events = table(spark, sf_dir, "events")
     clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
     return nearest_match(events.where("event_type = 'purchase'").select("user_id", "ts"), clicks, "user_id", "ts", "click").select("user_id", "ts", F.col("click").cast("long").alias("click"))
 
 
 def words_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shipped(spark).udtf.register("words_of", Words)
-    register(spark, sf_dir, ("part",))
-    return spark.sql("SELECT p_partkey, word, place FROM part, LATERAL words_of(p_name)")
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("place", "word"))
 
 
 def partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +109,7 @@ QUERIES |= {
     "stream_daily": streams.daily_counts, "stream_closed_days": streams.closed_days, "stream_dedup": streams.first_of_each, "stream_sliding": streams.sliding_counts, "stream_sessions": streams.closed_sessions,
     "stream_late": streams.late_days, "stream_join": streams.clicks_and_purchases, "stream_static_join": streams.named_events, "stream_state": streams.running_totals,
 }
-QUERIES |= scale.QUERIES
+QUERIES |= scale.QUERIES | mechanisms.QUERIES
 CUSTOMER = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLES: dict[str, str] = SAME | {name: pair[1] for name, pair in PAIRS.items()}
 ORACLES |= {
@@ -139,4 +137,4 @@ ORACLES |= {
     "stream_static_join": "SELECT n_name, count(*) AS n FROM events LEFT JOIN nation ON user_id % 25 = n_nationkey GROUP BY n_name",
     "stream_state": "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id",
 }
-ORACLES |= scale.ORACLES
+ORACLES |= scale.ORACLES | mechanisms.ORACLES

@@ -35,6 +35,7 @@ SAME: dict[str, str] = {
     "join_hint_broadcast": "SELECT /*+ BROADCAST(n) */ s_suppkey, n_name FROM supplier s JOIN nation n ON s_nationkey = n_nationkey",
     "join_hint_merge": "SELECT /*+ MERGE(o) */ c_custkey, o_orderkey FROM customer c JOIN orders o ON c_custkey = o_custkey",
     "join_hint_hash": "SELECT /*+ SHUFFLE_HASH(c) */ c_custkey, o_orderkey FROM customer c JOIN orders o ON c_custkey = o_custkey",
+    "join_hint_replicate": "SELECT /*+ SHUFFLE_REPLICATE_NL(n) */ r_name, n_name FROM region r JOIN nation n ON r_regionkey = n_regionkey",
     "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
     "aggregate_filter": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS high, count(*) AS n FROM events GROUP BY event_type",
     "distinct_counts": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag",
@@ -86,6 +87,14 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",
         "SELECT o_custkey AS c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)) o WHERE r <= 2",
     ),
+    "variant": (
+        "SELECT event_id, variant_get(parse_json(props), '$.k', 'int') AS k, schema_of_variant(parse_json(props)) AS of_variant, schema_of_json('{\"k\": 1}') AS of_json, is_variant_null(parse_json(props)) AS none FROM events",
+        "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, 'OBJECT<k: BIGINT>' AS of_variant, 'STRUCT<k: BIGINT>' AS of_json, FALSE AS none FROM events",
+    ),
+    "xml_parse": (
+        "SELECT x.k, x.b, x.l[1] AS second, to_xml(named_struct('id', x.k)) LIKE '%<id>%' AS back FROM (SELECT from_xml(concat('<p><k>', p_partkey, '</k><b>', p_brand, '</b><l>1</l><l>', p_size, '</l></p>'), 'k BIGINT, b STRING, l ARRAY<INT>') AS x FROM part) t",
+        "SELECT p_partkey AS k, p_brand AS b, p_size AS second, TRUE AS back FROM part",
+    ),
     "recursive_cte": (
         "WITH RECURSIVE t(k, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey > 0 AND (p_partkey - 1) div 7 = k) SELECT depth, count(*) AS n, min(k) AS first_key FROM t GROUP BY depth",
         "WITH RECURSIVE t(k, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey = 0 UNION ALL SELECT p_partkey, depth + 1 FROM t JOIN part ON p_partkey > 0 AND (p_partkey - 1) // 7 = k) SELECT depth, count(*) AS n, min(k) AS first_key FROM t GROUP BY depth",
@@ -167,8 +176,8 @@ PAIRS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey, CASE WHEN p_partkey % 7 > 3 THEN CAST(p_partkey % 7 AS INT) END AS b, CAST(p_size > 3 AS INT) + CAST(p_partkey % 7 > 3 AS INT) AS n, p_size * 10 AS ten, 'a,b' AS names, FALSE AS has_c FROM part",
     ),
     "digests": (
-        "SELECT p_partkey, sha2(p_name, 256) AS h, sha1(p_name) AS s, bit_count(p_partkey) AS bits, hex(p_partkey) AS x, base64(encode(p_brand, 'UTF-8')) AS b, xpath_string(concat('<a><b>', p_partkey, '</b></a>'), 'a/b') AS inner_text, crc32(p_name) >= 0 AS c FROM part",
-        "SELECT p_partkey, sha256(p_name) AS h, sha1(p_name) AS s, CAST(bit_count(p_partkey) AS INT) AS bits, hex(p_partkey) AS x, base64(encode(p_brand)) AS b, CAST(p_partkey AS VARCHAR) AS inner_text, TRUE AS c FROM part",
+        "SELECT p_partkey, sha2(p_name, 256) AS h, sha1(p_name) AS s, bit_count(p_partkey) AS bits, hex(p_partkey) AS x, base64(encode(p_brand, 'UTF-8')) AS b, xpath_string(concat('<a><b>', p_partkey, '</b></a>'), 'a/b') AS inner_text FROM part",
+        "SELECT p_partkey, sha256(p_name) AS h, sha1(p_name) AS s, CAST(bit_count(p_partkey) AS INT) AS bits, hex(p_partkey) AS x, base64(encode(p_brand)) AS b, CAST(p_partkey AS VARCHAR) AS inner_text FROM part",
     ),
     "urls": (
         "SELECT page_id, parse_url(url, 'HOST') AS host, parse_url(url, 'PROTOCOL') AS scheme, url_decode(url_encode(url)) = url AS same FROM pages",
