@@ -119,13 +119,15 @@ def train_dictionaries(ordinary: list[set[str]], toxic: list[set[str]]) -> tuple
 
     Each holds the text that both classes have in common, whole words by the share of documents that have them,
     at the same place in both, so that such text has one length under either. Then come the beginnings that tell
-    the own class from the other, the most telling last; zeros fill their room.
+    the own class from the other, the most telling last: as many bytes for either class as the one with more to tell
+    needs, up to OWN_BYTES; the other takes what leans to it with less evidence.
     """
     counts, sizes = [Counter(s for t in texts for s in t) for texts in (ordinary, toxic)], (len(ordinary), len(toxic))
 
-    def telling(c: int) -> str:
+    def telling(c: int, least: float, ratio: float, room: int) -> str:
+        """The beginnings that tell class c, the most telling last; `room` bytes at most."""
         a, b, n, m = counts[c], counts[1 - c], sizes[c], sizes[1 - c]
-        ranked = [(g, len(s), s) for s, k in a.items() if k >= 3 and k * m > RATIO[c] * b[s] * n and (g := _evidence(k, n, b[s], m)) >= EVIDENCE[c]]
+        ranked = [(g, len(s), s) for s, k in a.items() if k >= 3 and k * m > ratio * b[s] * n and (g := _evidence(k, n, b[s], m)) >= least]
         taken: list[str] = []
         size = 0
         for _, _, s in sorted(ranked, reverse=True):
@@ -133,12 +135,15 @@ def train_dictionaries(ordinary: list[set[str]], toxic: list[set[str]]) -> tuple
             if any(piece in t for t in taken):
                 continue
             size += len(piece.encode())
-            if size > OWN_BYTES:
+            if size > room:
                 break
             taken.append(piece)
         return "".join(reversed(taken))
 
-    own = [telling(0), telling(1)]
+    own = [telling(c, EVIDENCE[c], RATIO[c], OWN_BYTES) for c in (0, 1)]
+    room = max(len(o.encode()) for o in own)
+    # the class that less tells has as much room, for what leans to it however little
+    own = [o if 2 * len(o.encode()) >= room else telling(c, 0.0, 1.0, room) for c, o in enumerate(own)]
     share = {s: counts[0][s] / sizes[0] + counts[1][s] / sizes[1] for s in {*counts[0], *counts[1]} if s.endswith(" ")}
     common, size = [], 0
     for s in sorted(share, key=lambda s: (-share[s], s)):
@@ -148,7 +153,8 @@ def train_dictionaries(ordinary: list[set[str]], toxic: list[set[str]]) -> tuple
             if size > COMMON_BYTES:
                 break
     text = "".join(reversed(common)).encode()[-COMMON_BYTES:].rjust(COMMON_BYTES, b"\0")
-    one, other = (text + o.encode().rjust(OWN_BYTES, b"\0") + PRIMER for o in own)
+    room = max(len(o.encode()) for o in own)
+    one, other = (text + o.encode().rjust(room, b"\0") + PRIMER for o in own)
     return one, other
 
 
