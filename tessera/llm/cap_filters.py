@@ -14,13 +14,18 @@ from pyspark.sql.types import ArrayType, FloatType
 from tessera.llm.common import Scratch, components, scratch, stored
 from tessera.llm.shingles import digest
 
-#: Filters that a vector exceeds on average, codes, members of a filter aimed at, and rows of a block.
-CAPS, TABLES, AIM, BLOCK = 16, 4, 32, 2048
+#: Filters that a vector exceeds on average among up to 100,000 vectors, how many more for each tenfold number, codes, members of a filter aimed at, and rows of a block.
+CAPS, MORE_CAPS, TABLES, AIM, BLOCK = 16, 8, 4, 32, 2048
+
+
+def caps(n: int) -> int:
+    """Filters that each of n vectors exceeds on average. Filters get smaller caps as vectors get more, so their number grows with its logarithm to keep the recall."""
+    return CAPS + max(0, round(MORE_CAPS * np.log10(max(n, 1) / 100_000)))
 
 
 def code_size(n: int) -> int:
     """Code words of each half of a code, so that n vectors fill filters of about AIM: TABLES * size**2 filters."""
-    return max(8, int(np.ceil(np.sqrt(n * CAPS / AIM / TABLES))))
+    return max(8, int(np.ceil(np.sqrt(n * caps(n) / AIM / TABLES))))
 
 
 def cap_height(d: int, share: float) -> float:
@@ -34,10 +39,10 @@ def cap_height(d: int, share: float) -> float:
 
 
 @lru_cache(maxsize=8)
-def codes(d: int, size: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """For each code its two halves in rotated coordinates and the score that a random direction exceeds CAPS / TABLES times."""
+def codes(d: int, size: int, each: int = CAPS) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each code its two halves in rotated coordinates and the score that a random direction exceeds each / TABLES times."""
     out = []
-    least = cap_height(d, CAPS / TABLES / size**2)
+    least = cap_height(d, each / TABLES / size**2)
     for table in range(TABLES):
         rng = np.random.Generator(np.random.PCG64([d, size, table]))
         turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
@@ -58,10 +63,10 @@ def unit(x: np.ndarray) -> np.ndarray | None:
     return x / (np.linalg.norm(x / big) * big)
 
 
-def decoded(x: np.ndarray, size: int) -> list[np.ndarray]:
+def decoded(x: np.ndarray, size: int, each: int = CAPS) -> list[np.ndarray]:
     """The sorted filters of each unit vector: all that it exceeds, and its best of each code."""
     found: list[list[np.ndarray]] = [[] for _ in x]
-    for table, (left, right, least) in enumerate(codes(x.shape[1], size)):
+    for table, (left, right, least) in enumerate(codes(x.shape[1], size, each)):
         a, b = x @ left.T, x @ right.T
         top_a, top_b = a.max(1), b.max(1)
         for i in range(len(x)):
@@ -79,7 +84,7 @@ def stacked(raw: list[bytes], kind: str) -> np.ndarray:
     return x / (np.linalg.norm(x / big, axis=1, keepdims=True) * big)
 
 
-def _filters(classes: DataFrame, size: int, kind: str) -> DataFrame:
+def _filters(classes: DataFrame, size: int, each: int, kind: str) -> DataFrame:
     """rep, m, x and the filters, as numbers packed in `pack`."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +95,7 @@ def _filters(classes: DataFrame, size: int, kind: str) -> DataFrame:
                 at = [i for i, v in enumerate(raw) if len(v) == d]
                 x = stacked([raw[i] for i in at], kind)
                 for lo in range(0, len(at), 1024):
-                    for i, f in zip(at[lo : lo + 1024], decoded(x[lo : lo + 1024], size), strict=True):
+                    for i, f in zip(at[lo : lo + 1024], decoded(x[lo : lo + 1024], size, each), strict=True):
                         own[i] = f
             narrow = np.int32 if TABLES * size**2 < 1 << 31 else np.int64
             yield pa.record_batch([batch.column("rep"), batch.column("m"), batch.column("x"), pa.array(own, pa.list_(pa.int64())), pa.array([f.astype(narrow).tobytes() for f in own], pa.binary())], ["rep", "m", "x", "filters", "packed"])
@@ -145,7 +150,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     Two vectors link at cosine >= least in double precision. Null and zero vectors and those with null or
     non-finite components link with nothing; vectors of different lengths don't link. Equal vectors are one
     class with a count of its distinct ids. Each class is list-decoded to the filters it exceeds, so two vectors
-    at cosine 0.95 miss each other in all of some 16 with a small probability (tests measure it). Members of a
+    at cosine 0.95 miss each other in all of some 16, and more among more vectors, with a small probability (tests
+    measure it up to 10^9 vectors). Members of a
     filter are compared by blocks inside tasks, which return sums and one edge a row, never pairs: a filter with
     many members is cut into blocks, and each pair of blocks is a task's group of bounded size. Rows repeating a
     vec_id are one node, and equal rows count once; a row without a vec_id takes no part. An empty table gives an
@@ -167,8 +173,9 @@ def _near(vectors: DataFrame, least: float, tables: Scratch) -> DataFrame:
     rows = tables.stored(vectors.mapInArrow(units, "vec_id long, v binary, x binary"))
     once = rows.where("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("v", "vec_id").agg(F.first("x").alias("x"))
     classes = tables.stored(once.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("x").alias("x")))
-    size = code_size(classes.count())
-    with_filters = tables.stored(_filters(classes, size, kind))
+    n = classes.count()
+    size = code_size(n)
+    with_filters = tables.stored(_filters(classes, size, caps(n), kind))
     narrow = np.int32 if TABLES * size**2 < 1 << 31 else np.int64
     each = with_filters.select("rep", "m", "x", "packed", F.explode("filters").alias("filter"))
     sizes = with_filters.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
