@@ -15,7 +15,7 @@ from tessera.llm.common import tuned
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page, and those whose content is not markup.
-UNSEEN = frozenset("script style noscript template textarea title head iframe object svg canvas audio video select option button datalist math map".split())
+UNSEEN = frozenset("script style noscript template textarea title head iframe object svg canvas audio video select option button datalist annotation annotation-xml map".split())
 RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 #: Elements that are never part of an article.
 APART = frozenset("nav footer aside form menu dialog".split())
@@ -30,9 +30,12 @@ CLOSES = {
 #: Words that as a class, id or role name what is no part of an article, and words that may stand beside one in such
 #: a name (site-footer, ad-slot-2). A name with any other word, as category-social or ad-free, tells nothing.
 AWAY = frozenset(
-    "nav navbar navigation menu menubar sidebar side footer masthead banner ad ads advert advertisement adverts adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay breadcrumb breadcrumbs share sharing social related recommended comment comments disqus respond newsletter subscribe signup login pagination pager toolbar widget search complementary contentinfo alert skip toc".split()
+    "nav navbar navigation menu menubar sidebar side footer masthead banner ad ads advert advertisement adverts adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay breadcrumb breadcrumbs share sharing social related recommended comment comments replies disqus respond newsletter subscribe signup login pagination pager toolbar widget search complementary contentinfo alert skip toc".split()
 )
 BESIDE = frozenset("main site page global top bottom left right primary secondary area bar block box button buttons container form icons inner item items link links list posts section slot unit wrap wrapper thread".split())
+#: A paragraph or heading inside an article is taken out by its name only if that says advert or consent; by another, only if links are most of it.
+FIRM = frozenset("ad ads advert advertisement adverts adsense sponsor sponsored cookie cookies consent gdpr".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _LOOSE = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -42,10 +45,11 @@ _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?tr
 class Node:
     """An element: its tag, children (elements and texts in order), and whether it belongs to what is apart or may do so."""
 
-    __slots__ = ("tag", "parent", "children", "apart", "doubtful", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "apart", "doubtful", "by_links", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, apart: bool):
-        self.tag, self.parent, self.apart, self.doubtful, self.children = tag, parent, apart, False, []
+        self.tag, self.parent, self.apart, self.children = tag, parent, apart, []
+        self.doubtful = self.by_links = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -69,7 +73,16 @@ def _doubtful(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
-    return any(_away(n) for m in _NAMED.findall(attributes) for n in html.unescape(m.strip("\"'")).split())
+    return any(map(_away, _names(attributes)))
+
+
+def _names(attributes: str) -> list[str]:
+    return [n for m in _NAMED.findall(attributes) for n in html.unescape(m.strip("\"'")).split()]
+
+
+def _firm(attributes: str) -> bool:
+    """Whether a name says advert or consent."""
+    return any(w in FIRM for n in _names(attributes) if _away(n) for w in re.split(r"[\s_-]+", n.lower()))
 
 
 class _Path:
@@ -135,6 +148,7 @@ def parse(page: str) -> Node:
             now = path.nodes[-1]
             child = Node(tag, now, now.apart or _apart(tag, m[2], bool(path.at["article"])))
             child.doubtful = not child.apart and _doubtful(tag, m[2])
+            child.by_links = child.doubtful and tag in PARAGRAPHS and bool(path.at["article"] or path.at["main"]) and not _firm(m[2])
             now.children.append(child)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -164,15 +178,18 @@ def _set_apart(root: Node) -> None:
         if n.tag == "a" or id(n.parent) in linked:
             linked.add(id(n))
     plain = {id(n): sum(len(c.strip()) for c in n.children if isinstance(c, str)) if id(n) not in linked else 0 for n in nodes}
+    whole = {id(n): sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n in nodes}
     articles = {id(n): int(n.tag in ("article", "main")) for n in nodes}
     for node in reversed(nodes):
         if node.parent is not None:
             plain[id(node.parent)] += plain[id(node)]
+            whole[id(node.parent)] += whole[id(node)]
             articles[id(node.parent)] += articles[id(node)]
     for node in nodes:
         up = node.parent
         rest = plain[id(root)] - plain[id(node)]
-        node.apart = (up is not None and up.apart) or (node.doubtful and not articles[id(node)] and plain[id(node)] <= (9 if articles[id(root)] else 1) * rest)
+        named = node.doubtful and not (node.by_links and 2 * plain[id(node)] > whole[id(node)])
+        node.apart = (up is not None and up.apart) or (named and not articles[id(node)] and plain[id(node)] <= (9 if articles[id(root)] else 1) * rest)
 
 
 def _below(root: Node) -> list[Node]:
@@ -266,12 +283,16 @@ def select(root: Node) -> list[Node]:
 
 
 def blocks(node: Node) -> list[str]:
-    """The text of each block of an element, white space as one space; elements that are apart are left out."""
+    """The text of each block of an element; elements that are apart are left out.
+
+    Each text node has its character references decoded by itself. White space, as one space, is what Unicode and
+    Python's split() count as such: no-break space and the separators \\x1c to \\x1f too.
+    """
     out: list[str] = []
     run: list[str] = []
 
     def close() -> None:
-        text = " ".join(html.unescape("".join(run)).split())
+        text = " ".join("".join(run).split())
         run.clear()
         if text:
             out.append(text)
@@ -280,7 +301,7 @@ def blocks(node: Node) -> list[str]:
     while todo:
         item, ended = todo.pop()
         if isinstance(item, str):
-            run.append(item)
+            run.append(html.unescape(item))
         elif ended:
             close()
         elif item.tag in ("br", "td", "th"):
