@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.names import free_name
 from tessera.llm.bpe import bpe_decode, bpe_encode
-from tessera.llm.common import stored
+from tessera.llm.common import Scratch
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed_documents
 from tessera.llm.ngram_join import near_duplicates_removed
@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A stage's table goes once the next one is written; the one that the result is made of stays."""
+    docs, own, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = own.stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            own.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
