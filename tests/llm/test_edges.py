@@ -16,6 +16,7 @@ from tessera.llm import cap_filters, fingerprints, html_text, mixing, ngram_join
 from tessera.llm.bpe import bpe_decode, bpe_encode, default_path
 from tessera.llm.cap_filters import near_vectors
 from tessera.llm.chat_format import best_paths, chat_format
+from tessera.llm.common import stored
 from tessera.llm.fingerprints import fingerprinted
 from tessera.llm.html_text import html_text as extract
 from tessera.llm.line_dedup import line_dedup
@@ -42,7 +43,7 @@ def test_pipeline_bears_odd_rows_and_clashing_names(spark):
     docs = crowded(spark, ODD_ROWS)
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = corpus_pipeline.stored(stage(spark, before, SF))
+        after = stored(stage(spark, before, SF))
         assert after.columns == docs.columns, name
         assert after.select(*CLASHING.replace(" int", "").replace(" double", "").split(", ")).distinct().count() <= 1, name
         before = after
@@ -87,7 +88,7 @@ def test_op2_other_ids_and_equal_partitions(spark):
     texts = ["the same words here", "and 12 more\n\n", None]
     docs = spark.createDataFrame([(f"{'abc'[i]}", x) for _ in range(2) for i, x in enumerate(texts)], "doc_id string, text string").repartition(2, F.rand(1))
     rows = spark.createDataFrame([("a", texts[0])] * 6, "doc_id string, text string").repartition(3).unionByName(docs.sort("doc_id").coalesce(1))
-    got = sorted((r["doc_id"], tuple(r["ids"]), r["text"]) for r in bpe_decode(bpe_encode(corpus_pipeline.stored(rows))).collect())
+    got = sorted((r["doc_id"], tuple(r["ids"]), r["text"]) for r in bpe_decode(bpe_encode(stored(rows))).collect())
     assert got == sorted((r["doc_id"], tuple(t.encode(r["text"] or "").ids), r["text"] or "") for r in rows.collect())
 
 

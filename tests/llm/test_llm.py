@@ -12,7 +12,7 @@ from tessera.llm import queries, toxicity
 from tessera.llm.bpe import bpe_decode, bpe_encode, default_path
 from tessera.llm.cap_filters import near_vectors
 from tessera.llm.chat_format import best_paths, chat_format, loss_text, parse_turns
-from tessera.llm.common import components
+from tessera.llm.common import components, stored
 from tessera.llm.fingerprints import fingerprinted
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mix_sources, mixed_documents
@@ -212,7 +212,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, n = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF))
+        docs = stored(stage(spark, docs, SF))
         assert docs.columns == columns and docs.count() > 0.3 * n, name
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and sorted(r["text"] for r in last.collect()) == sorted(r["text"] for r in docs.collect())

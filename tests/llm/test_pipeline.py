@@ -9,6 +9,7 @@ import pytest
 
 import corpus_pipeline
 from oracle import SF
+from tessera.llm.common import stored
 from tessera.llm import toxicity
 from tessera.llm.bpe import bpe_decode, bpe_encode, default_path
 from tessera.llm.html_text import op8_html
@@ -34,7 +35,7 @@ def staged(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = [rows(docs)]
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.stored(stage(spark, docs, SF))
+        docs = stored(stage(spark, docs, SF))
         out.append(rows(docs))
     return out
 
