@@ -127,3 +127,38 @@ def importance_resampling(docs: DataFrame, target: DataFrame, percent: int = 25,
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return importance_resampling(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: x is the table of CRC32, by its rule.
+OP12_SQL = r"""
+WITH x AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS x
+), w AS (
+  SELECT part, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM (SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark)
+), f AS (
+  SELECT part, doc_id, f, count(*) AS n FROM (
+    SELECT part, doc_id, unnest(ws) AS f FROM w
+    UNION ALL SELECT part, doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w WHERE len(ws) > 1
+  ) GROUP BY ALL
+), b AS (
+  SELECT f, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1), lambda c, y: xor(c >> 8, x[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b
+  FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)) d, x
+), t AS (
+  SELECT part, b, sum(n) AS n FROM f JOIN b ON b.f = f.f GROUP BY ALL
+), s AS (
+  SELECT coalesce(sum(n) FILTER (WHERE part = 0), 0)::DOUBLE + 10000 AS s, coalesce(sum(n) FILTER (WHERE part = 1), 0)::DOUBLE + 10000 AS t FROM t
+), g AS (
+  SELECT i AS b, floor(1000 * ln((coalesce(y.n, 0)::DOUBLE + 1) * s.s / ((coalesce(z.n, 0)::DOUBLE + 1) * s.t))) AS gain
+  FROM range(10000) r(i) CROSS JOIN s LEFT JOIN t y ON y.part = 1 AND y.b = i LEFT JOIN t z ON z.part = 0 AND z.b = i
+), d AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM f JOIN b ON b.f = f.f JOIN g ON g.b = b.b WHERE part = 0 GROUP BY doc_id
+), a AS (
+  SELECT w.doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || w.doc_id), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN d ON d.doc_id = w.doc_id WHERE part = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY words >= 20) AS n FROM a
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND r <= 25 * n // 100 THEN r END AS rank FROM r
+"""

@@ -8,7 +8,7 @@ from tessera.llm.chat_format import OP4_SQL, op4_chat_format
 from tessera.llm.divergence import OP13_SQL, op13_divergence
 from tessera.llm.fingerprints import op6_fingerprints
 from tessera.llm.html_text import op8_html
-from tessera.llm.importance import op12_importance
+from tessera.llm.importance import OP12_SQL, op12_importance
 from tessera.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tessera.llm.mixing import op7_mixing
 from tessera.llm.ngram_join import OP10_SQL, op10_ngram_join
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_importance": op12_importance,
     "op13_divergence": op13_divergence,
 }
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op5_cap_filters": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_substring_dedup": OP11_SQL, "op13_divergence": OP13_SQL}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op5_cap_filters": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_ngram_join": OP10_SQL, "op11_substring_dedup": OP11_SQL, "op12_importance": OP12_SQL, "op13_divergence": OP13_SQL}
