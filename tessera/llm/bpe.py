@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from tessera.llm.common import tuned
+from tessera.llm.common import trimmed, tuned
 
 #: Characters of text that share one table of word numbers, and ids that are put in place or decoded at once.
 CHUNK_CHARS, SLICE_IDS = 8_000_000, 500_000
@@ -224,9 +224,9 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     id_type = docs.schema["doc_id"].dataType
     kind = to_arrow_type(id_type)
     both = StructType().add("chunk", "long").add("bucket", "integer").add("doc_id", id_type).add("packed", "binary")
-    table = docs.mapInArrow(words_of, "chunk long, bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encoded_words, both)
-    parts = docs.mapInArrow(numbers, both).unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    return parts.mapInArrow(placed, StructType().add("doc_id", id_type).add("ids", ArrayType(IntegerType())))
+    table = docs.mapInArrow(trimmed(words_of), "chunk long, bucket int, packed binary").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(encoded_words), both)
+    parts = docs.mapInArrow(trimmed(numbers), both).unionByName(table).repartition("chunk").sortWithinPartitions("chunk", "bucket")
+    return parts.mapInArrow(trimmed(placed), StructType().add("doc_id", id_type).add("ids", ArrayType(IntegerType())))
 
 
 def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -270,7 +270,7 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 first = last
 
     out = StructType().add("doc_id", encoded.schema["doc_id"].dataType).add("ids", ArrayType(IntegerType())).add("text", "string")
-    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(joined, out)
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(trimmed(joined), out)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

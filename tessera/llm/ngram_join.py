@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, components, scratch, stored
+from tessera.llm.common import components, scratch, Scratch, stored, trimmed
 from tessera.llm.shingles import digest, shingle_sets
 
 #: A shingle in fewer prefixes is never common; COMMON_MOST bounds how many common shingles there can be.
@@ -64,7 +64,7 @@ def _common(docs: DataFrame, k: int, percent: int, own: Scratch) -> np.ndarray:
             token, n = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.record_batch([pa.array(token.astype(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    counts = own.stored(docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST))
+    counts = own.stored(docs.select("text").mapInArrow(trimmed(counted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST))
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.where(F.col("n") >= max(COMMON_LEAST, -(-total // COMMON_MOST))).select("token").toArrow().column(0)
     own.drop(counts)
@@ -101,7 +101,7 @@ def _prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> Data
                 ["doc_id", "n", "f", "g", "bits", "prefix", "rare", *SMALL_BITMAP],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id long, n long, f binary, g binary, bits binary, prefix array<long>, rare int, {', '.join(f'{c} long' for c in SMALL_BITMAP)}")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(made), f"doc_id long, n long, f binary, g binary, bits binary, prefix array<long>, rare int, {', '.join(f'{c} long' for c in SMALL_BITMAP)}")
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -117,7 +117,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     x, y = (classes.select(F.col("u").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(kept, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(trimmed(kept), "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, percent: int, own: Scratch) -> DataFrame:
@@ -160,9 +160,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int, per
     hub = sizes.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("a").alias("u"))
     wanted = own.stored(member.unionByName(hub).join(classes.select("u", "doc_id", "f"), "u"))
     small = F.broadcast(wanted) if wanted.count() <= SMALL_SIDE else wanted
-    rows = docs.join(small, "doc_id").select("text", "f", "hub", "block", "u").mapInArrow(sets, "hub long, block int, u long, own binary")
+    rows = docs.join(small, "doc_id").select("text", "f", "hub", "block", "u").mapInArrow(trimmed(sets), "hub long, block int, u long, own binary")
     dealt = rows.repartition("hub", "block").sortWithinPartitions("hub", "block", F.col("hub") != F.col("u"))
-    found = own.stored(dealt.mapInArrow(alike, "a long, b long"))
+    found = own.stored(dealt.mapInArrow(trimmed(alike), "a long, b long"))
     own.drop(wanted)
     return found
 

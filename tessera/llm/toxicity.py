@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import tuned
+from tessera.llm.common import trimmed, tuned
 
 #: Bytes of a window, windows compressed in one call, and what stands before each window and ends each dictionary:
 #: every window then has one match at least, and a further one costs its own bytes alone. A window and what it runs
@@ -280,7 +280,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, to: str = "score") -> DataFr
             found.append(scores(held, model))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found), pa.float64())], names=[*keep, to])
 
-    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(scored, schema)
+    return docs.select(*[f"`{c}`" for c in keep]).mapInArrow(trimmed(scored), schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
