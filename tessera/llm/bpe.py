@@ -52,27 +52,33 @@ def _loaded(path: str):
     return found
 
 
+def added_tokens(path: str) -> tuple[str, ...]:
+    """The added tokens of a byte-level tokenizer that `splitter` can stand for."""
+    with open(path) as file:
+        spec = json.load(file)
+    if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or not spec["pre_tokenizer"].get("use_regex", True):
+        raise ValueError("the tokenizer must be byte-level without normalizer and prefix space")
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens must match literally")
+    return tuple(t["content"] for t in spec["added_tokens"])
+
+
 @lru_cache(maxsize=2)
-def splitter(path: str):
-    """The function that splits a text into the words that the tokenizer encodes one by one; added tokens are words.
+def splitter(added: tuple[str, ...]):
+    """The function that splits a text into the words that a byte-level tokenizer encodes one by one; added tokens are words.
 
     `regex` splits; texts with code points that Python's Unicode tables lack, where its tables and the
-    tokenizer's may differ, go to the tokenizer's own splitter.
+    tokenizer's may differ, go to the tokenizer's own splitter. No vocabulary is loaded for either.
     """
     import regex
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    spec = json.load(open(path))
-    if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
-        raise ValueError("the tokenizer must be byte-level without normalizer and prefix space")
-    added = [t["content"] for t in spec["added_tokens"]]
-    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-        raise ValueError("added tokens must match literally")
     words = regex.compile(r""" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
     # the same for texts of LATIN characters alone, where ranges stand for the classes
     latin = re.compile(r""" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+|\s+(?!\S)|\s+""").findall
     whole = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
     known = set(LATIN)
-    own = _loaded(path).pre_tokenizer
+    own = ByteLevel(add_prefix_space=False)
 
     def part(text: str) -> list[str]:
         used = set(text)
@@ -92,9 +98,9 @@ def splitter(path: str):
     return split
 
 
-def _chunks(rows: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, list, list[np.ndarray], _Words]]:
+def _chunks(rows: Iterator[pa.RecordBatch], added: tuple[str, ...]) -> Iterator[tuple[int, list, list[np.ndarray], _Words]]:
     """(chunk, ids of documents, their word numbers, words) of the texts of one partition, in order."""
-    split = splitter(path)
+    split = splitter(added)
 
     def fresh():
         return [], [], _Words(), hashlib.blake2b(digest_size=8), 0
@@ -121,10 +127,6 @@ def _dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return own, np.argsort(own, kind="stable")
 
 
-def _ids_type(path: str) -> type:
-    return np.uint16 if _loaded(path).get_vocab_size() <= 1 << 16 else np.uint32
-
-
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids; one row for each row of docs: the ids of the whole text (null: empty) without special tokens added.
 
@@ -138,6 +140,7 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     by one; an empty table gives an empty one.
     """
     path = path or default_path()
+    added, dtype = added_tokens(path), np.uint16 if _loaded(path).get_vocab_size() <= 1 << 16 else np.uint32
     tuned(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -145,17 +148,19 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 
     def numbers(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for chunk, ids, codes, words in _chunks(rows, path):
+        for chunk, ids, codes, words in _chunks(rows, added):
             place = np.empty(len(words), np.uint32)
             place[_dealt(list(words), buckets)[1]] = np.arange(len(words), dtype=np.uint32)
             for lo in range(0, len(ids), 500):
                 packed = [pack.compress(place[c].tobytes()) for c in codes[lo : lo + 500]]
                 n = len(packed)
                 yield pa.record_batch([pa.array(np.full(n, chunk)), pa.array(np.full(n, buckets, np.int32)), pa.array(ids[lo : lo + 500], kind), pa.array(packed, pa.binary())], ["chunk", "bucket", "doc_id", "packed"])
+            del ids, codes, words, place, packed  # not beside the next chunk
 
     def words_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        for chunk, _, _, found in _chunks(rows, path):
+        for chunk, _, codes, found in _chunks(rows, added):
+            codes.clear()
             words = list(found)
             own, order = _dealt(words, buckets)
             edges = np.searchsorted(own[order], np.arange(buckets + 1)).tolist()
@@ -166,9 +171,10 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                     full.append(bucket)
                     packed.append(pack.compress(np.array([b - a, *map(len, some)], np.uint32).tobytes() + "".join(some).encode()))
             yield pa.record_batch([pa.array(np.full(len(full), chunk)), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bucket", "packed"])
+            del codes, found, words, own, order, packed
 
     def encoded_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, dtype, now, ids_of = _loaded(path), _ids_type(path), None, {}
+        tokenizer, now, ids_of = _loaded(path), None, {}
         pack, unpack = zstandard.ZstdCompressor(level=3, write_content_size=True), zstandard.ZstdDecompressor()
         for batch in rows:
             packed = []
@@ -187,7 +193,8 @@ def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             yield pa.record_batch([batch.column(0), batch.column(1), pa.nulls(len(packed), kind), pa.array(packed, pa.binary())], ["chunk", "bucket", "doc_id", "packed"])
 
     def placed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, dtype, now, parts, flat, start, size = zstandard.ZstdDecompressor(), _ids_type(path), None, {}, None, None, None
+        _loaded.cache_clear()  # words are encoded by now, so this worker's vocabulary has had its use
+        unpack, now, parts, flat, start, size = zstandard.ZstdDecompressor(), None, {}, None, None, None
         for batch in rows:
             docs_, flats, lengths, total = [], [], [], 0
             for chunk, bucket, doc, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
