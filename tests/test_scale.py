@@ -189,3 +189,32 @@ def test_rocksdb_setting_comes_back(spark):
     with rocksdb(spark):
         assert "RocksDB" in spark.conf.get(PROVIDER)
     assert spark.conf.get(PROVIDER, None) == before
+
+
+def test_a_call_costs_as_many_messages_however_many_sessions_are_open():
+    """Every call to a state variable or timer is a message to the JVM; the watermark closes all it has passed at once."""
+    import pandas as pd
+
+    class Told(Held):
+        calls = 0
+
+        def __getattribute__(self, name):
+            if name not in ("of", "calls") and not name.startswith("__"):
+                Told.calls += 1
+            return super().__getattribute__(name)
+
+    class Watermark:
+        def getCurrentWatermarkInMs(self):
+            return 300_000_000
+
+    for n in (3, 400):
+        handle, one = Handle(), TimedSessions(10_000_000)
+        handle._state = handle.getListState = handle.getMapState = handle.getValueState = lambda name, *_, of=handle.vars, **__: of.setdefault(name, Told())
+        one.init(handle)
+        Told.calls = 0
+        list(one.handleInputRows(("k",), iter([pd.DataFrame([(i * 100_000_000, kind) for i in range(n) for kind in "ab"], columns=["at_us", "kind"])]), None))
+        assert Told.calls + len(handle.timers) <= 8
+        Told.calls = 0
+        out = pd.concat(one.handleExpiredTimer(("k",), Watermark(), Fired(10_000)))
+        assert out.values.tolist() == [["k", i * 100_000_000, i * 100_000_000, 2, 2, i + 1] for i in range(min(n, 2900))]
+        assert Told.calls <= 12 and not list(one.handleExpiredTimer(("k",), Watermark(), Fired((n - 1) * 100_000 + 10_000)))
