@@ -54,3 +54,10 @@ def test_late_events_are_late(spark):
     first = {r["day"]: r["n"] for r in QUERIES["stream_late"](spark, SF).collect()}
     late = events.where("ts < timestamp_ntz'2024-01-05'").count()
     assert late and sum(first.values()) == events.where("ts < date_trunc('DAY', (SELECT max(ts) FROM {e}))".format(e="parquet.`" + SF + "/events.parquet`")).count()
+
+
+def test_lateral_ranks_by_its_order(spark):
+    """Numbered in the order in which rows come out of a shuffle, a customer's two orders are right by luck alone."""
+    plan = QUERIES["lateral"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number() windowspecdefinition" in line]
+    assert windows and all("o_totalprice" in line and "o_orderkey" in line.split("o_totalprice", 1)[1] for line in windows)
