@@ -61,3 +61,8 @@ def test_lateral_ranks_by_its_order(spark):
     plan = QUERIES["lateral"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number() windowspecdefinition" in line]
     assert windows and all("o_totalprice" in line and "o_orderkey" in line.split("o_totalprice", 1)[1] for line in windows)
+
+
+def test_recursion_goes_beyond_a_million_rows(spark, tmp_path):
+    spark.range(1_100_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    assert sum(r["n"] for r in QUERIES["recursive_cte"](spark, str(tmp_path)).collect()) == 1_100_000
