@@ -66,3 +66,9 @@ def test_lateral_ranks_by_its_order(spark):
 def test_recursion_goes_beyond_a_million_rows(spark, tmp_path):
     spark.range(1_100_000).withColumnRenamed("id", "p_partkey").write.parquet(f"{tmp_path}/part.parquet")
     assert sum(r["n"] for r in QUERIES["recursive_cte"](spark, str(tmp_path)).collect()) == 1_100_000
+
+
+def test_digests_hold_the_checksum(spark):
+    found = QUERIES["digests"](spark, SF)
+    assert found.columns == ["p_partkey", "h", "s", "bits", "x", "b", "inner_text", "c"] and found.where("c").count() == found.count()
+    assert "crc32" in found._jdf.queryExecution().analyzed().toString()
