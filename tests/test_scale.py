@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import sketches as S
 from tessera.operators.recursion import chain_ends, closure, subtree_sums
+from tessera.plans.registry import QUERIES
 from tessera.sources.tables import scratch
 from tessera.streaming.state import PROVIDER, TimedSessions, rocksdb
 
@@ -218,3 +219,21 @@ def test_a_call_costs_as_many_messages_however_many_sessions_are_open():
         out = pd.concat(one.handleExpiredTimer(("k",), Watermark(), Fired(10_000)))
         assert out.values.tolist() == [["k", i * 100_000_000, i * 100_000_000, 2, 2, i + 1] for i in range(min(n, 2900))]
         assert Told.calls <= 12 and not list(one.handleExpiredTimer(("k",), Watermark(), Fired((n - 1) * 100_000 + 10_000)))
+
+
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """12,000 users, more than a sketch has entries: all sign up on two days, every third has an error."""
+    base = str(tmp_path_factory.mktemp("many"))
+    users = spark.range(12_000).withColumnRenamed("id", "user_id")
+    signups = users.select("user_id", F.explode(F.expr("array(timestamp_ntz'2024-01-10', timestamp_ntz'2024-01-15')")).alias("ts"), F.lit("signup").alias("event_type"))
+    errors = users.where("user_id % 3 = 0").select("user_id", F.expr("timestamp_ntz'2024-01-20'").alias("ts"), F.lit("error").alias("event_type"))
+    outside = users.select(F.col("user_id") + 50_000, F.expr("timestamp_ntz'2024-01-21'").alias("ts"), F.lit("error").alias("event_type"))
+    rows = signups.union(errors).union(outside)
+    rows.select(F.monotonically_increasing_id().alias("event_id"), "ts", "user_id", "event_type", F.lit(1.0).alias("value")).write.parquet(f"{base}/events.parquet")
+    return base
+
+
+def test_distinct_users_are_exact_beyond_the_entries_of_a_sketch(spark, many_users):
+    got = {tuple(r) for r in QUERIES["sketch_people"](spark, many_users).select("event_type", "n", "users").collect()}
+    assert got == {("signup", 24_000, 12_000), ("error", 4_000, 4_000)}
