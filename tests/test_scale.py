@@ -237,3 +237,7 @@ def many_users(spark, tmp_path_factory):
 def test_distinct_users_are_exact_beyond_the_entries_of_a_sketch(spark, many_users):
     got = {tuple(r) for r in QUERIES["sketch_people"](spark, many_users).select("event_type", "n", "users").collect()}
     assert got == {("signup", 24_000, 12_000), ("error", 4_000, 4_000)}
+
+
+def test_overlaps_are_exact_beyond_the_entries_of_a_sketch(spark, many_users):
+    assert QUERIES["sketch_overlap"](spark, many_users).first().asDict() == {"in_both": 4_000, "only_signup": 8_000, "in_either": 12_000}
