@@ -10,7 +10,7 @@ from tessera.operators import sketches as S
 from tessera.operators.recursion import chain_ends, closure, subtree_sums
 from tessera.plans.registry import QUERIES
 from tessera.sources.tables import scratch
-from tessera.streaming.state import PROVIDER, TimedSessions, rocksdb
+from tessera.streaming.state import PROVIDER, FirstSeen, TimedSessions, rocksdb
 
 
 def test_closure_ends_in_circles_and_finds_least_depths(spark):
@@ -241,3 +241,32 @@ def test_distinct_users_are_exact_beyond_the_entries_of_a_sketch(spark, many_use
 
 def test_overlaps_are_exact_beyond_the_entries_of_a_sketch(spark, many_users):
     assert QUERIES["sketch_overlap"](spark, many_users).first().asDict() == {"in_both": 4_000, "only_signup": 8_000, "in_either": 12_000}
+
+
+def test_first_seen_reads_and_appends_once_a_call():
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    calls, kept = [], []
+
+    class Kept:
+        def get(self):
+            calls.append("get")
+            return iter(list(kept))
+
+        def appendValue(self, row):
+            calls.append("append")
+            kept.append(row)
+
+    class Own:
+        def getListState(self, name, schema, ttlDurationMs=None):
+            assert ttlDurationMs == 1000
+            return Kept()
+
+    one = FirstSeen(1000, LongType())
+    one.init(Own())
+    feed = lambda *frames: [tuple(r) for f in one.handleInputRows((0,), iter([pd.DataFrame(f, columns=["key", "id"]) for f in frames]), None) for r in f.values.tolist()]
+    rows = [(k, i) for k in (1, 2) for i in range(300)]
+    assert feed(rows + rows, rows) == rows and calls == ["get", "append"]
+    assert feed([(1, 5), (3, 5), (2, 300)], [(3, 5)]) == [(3, 5), (2, 300)] and calls == ["get", "append"] * 2
+    assert feed(rows) == [] and calls == ["get", "append", "get", "append", "get"]
