@@ -72,3 +72,10 @@ def test_digests_hold_the_checksum(spark):
     found = QUERIES["digests"](spark, SF)
     assert found.columns == ["p_partkey", "h", "s", "bits", "x", "b", "inner_text", "c"] and found.where("c").count() == found.count()
     assert "crc32" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_sketch_is_made_for_each_distinct_value(spark):
+    """An aggregate that makes sketches has no more groups than the result."""
+    lines = QUERIES["approx_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = [line for line in lines if "Aggregate(keys=" in line and ("approx_count_distinct" in line or "hll_sketch_agg" in line)]
+    assert made and all("l_partkey" not in line.split("keys=[")[1].split("]")[0] for line in made)
