@@ -79,3 +79,10 @@ def test_no_sketch_is_made_for_each_distinct_value(spark):
     lines = QUERIES["approx_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
     made = [line for line in lines if "Aggregate(keys=" in line and ("approx_count_distinct" in line or "hll_sketch_agg" in line)]
     assert made and all("l_partkey" not in line.split("keys=[")[1].split("]")[0] for line in made)
+
+
+@pytest.mark.parametrize("name", ["percentiles", "statistics"])
+def test_quantiles_of_a_flag_are_no_single_aggregate(spark, name):
+    """Spark's exact percentiles send all values of a group to one task."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan
