@@ -86,3 +86,9 @@ def test_quantiles_of_a_flag_are_no_single_aggregate(spark, name):
     """Spark's exact percentiles send all values of a group to one task."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "median" not in plan
+
+
+def test_no_xml_file_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr("tessera.sources.tables.FILE_ROWS", 40)
+    found = QUERIES["format_xml"](spark, SF)
+    assert found.count() == 150 and len(found.inputFiles()) >= 4
