@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from math import log
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import trimmed, tuned
+from tessera.llm.common import give_back, trimmed, tuned
 
 #: Bytes of a window, windows compressed in one call, and what stands before each window and ends each dictionary:
 #: every window then has one match at least, and a further one costs its own bytes alone. A window and what it runs
@@ -114,7 +115,7 @@ def _distinct(text: str) -> set[str]:
     return {w[:n] for w in words for n in BEGINNINGS if len(w) >= n} | {w + " " for w in words if 3 <= len(w) <= 12}
 
 
-def train_dictionaries(ordinary: list[set[str]], toxic: list[set[str]]) -> tuple[bytes, bytes]:
+def train_dictionaries(ordinary: list[Iterable[str]], toxic: list[Iterable[str]]) -> tuple[bytes, bytes]:
     """The raw-content dictionaries of ordinary and of toxic text, of one size, from the word beginnings of each text.
 
     Each holds the text that both classes have in common, whole words by the share of documents that have them,
@@ -209,10 +210,13 @@ def fit(texts: list[str], labels: list[int], rate: float | None = None) -> Toxic
     of = [[i for i, v in enumerate(labels) if int(v) == c] for c in (0, 1)]
     if min(map(len, of)) < 3:
         return ToxicityModel(b"", b"", (log(max(rate, 1e-3) / max(1 - rate, 1e-3)),))
-    tell = [_distinct(texts[i]) for i in range(len(texts))]
+    # by number: as strings of their own the beginnings of all texts take some 200 MB of the driver
+    numbers: dict[str, int] = {}
+    tell = [array("i", (numbers.setdefault(s, len(numbers)) for s in _distinct(t))) for t in texts]
+    beginnings = list(numbers)
 
     def trained(of: list[list[int]]) -> ToxicityModel:
-        return ToxicityModel(*train_dictionaries(*([tell[i] for i in ids] for ids in of)), ())
+        return ToxicityModel(*train_dictionaries(*([map(beginnings.__getitem__, tell[i]) for i in ids] for ids in of)), ())
 
     # each part is scored by dictionaries of the others, so the weights see texts that no dictionary has learned
     parts = min(PARTS, min(map(len, of)))
@@ -252,7 +256,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lon
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.char_length("text"), F.lit(0)) <= longest).join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in found.toArrow().to_pylist())
     total = sum(by_class.values())
-    return fit([r[2] for r in rows], [r[1] for r in rows], by_class.get(1, 0) / total if total else 0.0)
+    model = fit([r[2] for r in rows], [r[1] for r in rows], by_class.get(1, 0) / total if total else 0.0)
+    give_back()
+    return model
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, to: str = "score") -> DataFrame:

@@ -205,3 +205,22 @@ def test_op13_empty_table(spark):
     assert [tuple(r) for r in source_divergence(frame(spark, [(1, "a", "en", "s"), (2, "b", "en", "t")])).collect()] in ([("en", "s", "pair", "t", 0, 1), ("en", "t", "pair", "s", 0, 1)], [("en", "t", "pair", "s", 0, 1), ("en", "s", "pair", "t", 0, 1)])
 
 
+
+
+def test_a_fit_holds_no_beginnings_as_strings_for_each_text():
+    """The driver fits; equal beginnings of different texts are one string."""
+    import random
+    import tracemalloc
+
+    from tessera.llm.toxicity import fit
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(9)) for _ in range(1500)]
+    texts = [" ".join(rnd.sample(words, 300) + ["vilest"] * (i % 2)) for i in range(300)]
+    tracemalloc.start()
+    try:
+        fit(texts, [i % 2 for i in range(300)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25_000_000
